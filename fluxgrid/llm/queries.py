@@ -29,6 +29,18 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(rows.unionByName(more), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fluxgrid.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fluxgrid.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fluxgrid.llm.exact_dedup import exact_dedup
 
@@ -43,6 +55,12 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fluxgrid.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fluxgrid.llm.packing import pack
 
@@ -50,7 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op6_exact_dedup, op7_token_output, op10_packing)}
+    return {f.__name__: f for f in (op1_chat_format, op3_ngram_join, op4_suffix_dedup, op6_exact_dedup, op7_token_output, op8_quality, op10_packing)}
 
 
 ORACLES = {
