@@ -29,6 +29,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(rows.unionByName(more), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fluxgrid.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fluxgrid.llm.ngram_join import ngram_components
 
@@ -68,7 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_ngram_join, op4_suffix_dedup, op6_exact_dedup, op7_token_output, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_chat_format, op2_decontamination, op3_ngram_join, op4_suffix_dedup, op6_exact_dedup, op7_token_output, op8_quality, op10_packing)}
 
 
 ORACLES = {

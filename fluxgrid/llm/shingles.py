@@ -18,7 +18,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TABLE[:, _SPACE] = 0
 _TABLE[:, 65:91] = _TABLE[:, 97:123]
-_FLAT = _TABLE.ravel()
+
+#: The same where ASCII punctuation separates words too.
+_BARE, _GAPS = _TABLE.copy(), _SPACE.copy()
+_GAPS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_BARE[:, _GAPS] = 0
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -40,12 +44,14 @@ def text_blocks(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int,
         start = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of every word, and for each text the index of its first word (one more at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every word, and for each text the index of its first word (one more at the end). bare: ASCII
+    punctuation separates words too."""
+    table, gaps = (_BARE, _GAPS) if bare else (_TABLE, _SPACE)
     n = len(data)
     if n == 0:
         return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(len(offsets), "i8")
-    gap = _SPACE[data]
+    gap = gaps[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0] = after[-1] = True
     before[1:], after[:-1] = gap[:-1], gap[1:]
@@ -56,7 +62,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if len(starts) == 0:
         return np.zeros(0, "u8"), starts, ends, first
     at = np.arange(starts[0], n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    values = _FLAT[((at & 63) << 8) + data[starts[0] :]]
+    values = table.ravel()[((at & 63) << 8) + data[starts[0] :]]
     if (far := np.flatnonzero(at > 63)).size:
         values[far] *= (at[far] >> 6).astype("u8") * np.uint64(2) + np.uint64(1)
     return mix(np.add.reduceat(values, starts - starts[0])), starts, ends, first
