@@ -47,6 +47,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fluxgrid.llm.line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fluxgrid.llm.exact_dedup import exact_dedup
 
@@ -67,6 +73,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fluxgrid.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fluxgrid.llm.packing import pack
 
@@ -74,7 +86,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_decontamination, op3_ngram_join, op4_suffix_dedup, op6_exact_dedup, op7_token_output, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_chat_format, op2_decontamination, op3_ngram_join, op4_suffix_dedup, op5_line_dedup, op6_exact_dedup, op7_token_output, op8_quality, op9_secret_scan, op10_packing)}
 
 
 ORACLES = {
