@@ -1,7 +1,8 @@
 """Tokenization with the public tokenizer files, by pieces of text that repeat.
 
 Both vocabularies split a text before they merge inside the pieces, so a text that is cut where the splitter always
-cuts gives the same ids piece by piece. Words recur, so most pieces come from a cache of bounded size.
+cuts gives the same ids piece by piece. Words recur, so most pieces come from a cache of bounded size; those not in it
+are encoded together, a mark between them.
 """
 
 from __future__ import annotations
@@ -9,16 +10,21 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 
-#: Cached pieces of one Python worker: about 130 MB.
-CACHE = 600_000
+#: Cached pieces of one Python worker: about 200 MB. Above half of that, a piece enters when it is seen in a second block.
+CACHE = 900_000
 #: Longer pieces are seldom seen twice.
 PIECE = 48
+#: A token of its own, from the private use area, between pieces that are encoded together.
+MARK = ""
 
 #: A single space between two visible characters: the byte-level splitter begins a piece there.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: White space but the space and the line feed.
+_RARE_SPACES = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B))))
 
 
 class PieceEncoder:
@@ -26,30 +32,72 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import AddedToken, Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
+        self.lowers = self.tokenizer.normalizer is not None
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.tokenizer.add_tokens([AddedToken(MARK, normalized=False)])
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.mark = self.tokenizer.token_to_id(MARK)
         self.cache: dict[str, bytes] = {}
-        lowers = self.tokenizer.normalizer is not None
-        self.split = self._at_spaces if lowers else _BEFORE_SPACE.split
-
-    @staticmethod
-    def _at_spaces(text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+        self.once = np.zeros(1 << 22, bool)
+        self.signs = {c: np.array(self.plain.encode(c, add_special_tokens=False).ids, self.dtype).tobytes() for c in ".,"}
+
+    def split(self, text: str) -> list[str]:
+        """Pieces whose ids, one after the other, are those of the text. A piece stands for itself behind a space; with a
+        space at its end, for itself without that space."""
+        if self.lowers:
+            return text.replace("\n", " ").split(" ")
+        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _RARE_SPACES[: None if not text.isascii() else 8]):
+            return [p[1:] if p[0] == " " and p[1:] and p[-1] != " " else p + " " for p in _BEFORE_SPACE.split(text) if p]
+        pieces = text.split(" ")
+        pieces[0] += " "
+        return pieces
+
+    def _source(self, piece: str) -> str:
+        if self.lowers:
+            return piece
+        return piece[:-1] if piece[-1:] == " " else " " + piece
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        texts = [self._source(p) for p in pieces]
+        width, joined = self.dtype.itemsize, "".join([t + MARK for t in texts])
+        if joined.count(MARK) != len(texts):
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+        ends = (np.flatnonzero(ids == self.mark) * width).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(e + width for e in ends[:-1])], ends, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.split(t) for t in texts]
-        missing = list(set().union(*pieces).difference(self.cache)) if pieces else []
-        found, new = self.cache, {}
-        for start in range(0, len(missing), 50_000):
-            part = missing[start : start + 50_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[piece] = np.array(e.ids, dtype=self.dtype).tobytes()
-        if len(found) < CACHE:
-            found.update((k, v) for k, v in new.items() if len(k) <= PIECE)
-        return [b"".join([found[p] if p in found else new[p] for p in ps]) for ps in pieces]
+        pieces, found = [self.split(t) for t in texts], self.cache
+        missing = set(filterfalse(found.__contains__, chain.from_iterable(pieces)))
+        # A letter and a sign behind it are never merged: such a piece is made of its word and the sign.
+        signed = [p for p in missing if p[-1:] in self.signs and p[-2:-1].isalpha()]
+        missing.difference_update(signed)
+        missing.update([p[:-1] for p in signed if p[:-1] not in found])
+        new = list(missing)
+        for start in range(0, len(new), 10_000):
+            part = new[start : start + 10_000]
+            found.update(zip(part, self._ids(part), strict=True))
+        for p in signed:
+            found[p] = found[p[:-1]] + self.signs[p[-1]]
+        out = [b"".join(map(found.__getitem__, ps)) for ps in pieces]
+        new += signed
+        size = len(found) - len(new)
+        if size > CACHE // 2:
+            slots = np.fromiter(map(hash, new), "i8", len(new)) & (len(self.once) - 1)
+            again = self.once[slots] & (size < CACHE)
+            self.once[slots] = True
+        else:
+            again = np.ones(len(new), bool)
+        for piece, seen in zip(new, again.tolist(), strict=True):
+            if not seen or len(piece) > PIECE:
+                del found[piece]
+        return out
 
 
 @lru_cache(maxsize=4)
