@@ -44,7 +44,7 @@ SIZE = 5
 #: Share of documents from which a block counts as common, and how many such blocks are kept (8 bytes each, broadcast).
 COMMON, MOST_COMMON = 0.0003, 200_000
 #: Members of a key up to which pairs are formed before their sketches are fetched, and members that meet in one task.
-SMALL, CELL = 64, 2_000
+SMALL, CELL = 6, 2_000
 #: Members of a key from which they meet in a chain first.
 CROWD = 16
 NO_ID = -(1 << 63)
