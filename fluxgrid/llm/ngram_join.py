@@ -43,6 +43,8 @@ from fluxgrid.llm.shingles import mix, shingle_sets
 SIZE = 5
 #: Share of documents from which a block counts as common, and how many such blocks are kept (8 bytes each, broadcast).
 COMMON, MOST_COMMON = 0.0003, 200_000
+#: Documents whose blocks are counted together.
+COUNTED = 4_000
 #: Members of a key up to which pairs are formed before their sketches are fetched, and members that meet in one task.
 SMALL, CELL = 6, 2_000
 #: Members of a key from which they meet in a chain first.
@@ -189,9 +191,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of(docs).alias("text"), F.monotonically_increasing_id().alias("row"))
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _set_rows(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of so many rows, and the sets of their texts."""
     for batch in batches:
-        yield batch, list(shingle_sets(batch.column(1), SIZE))
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
+            yield part, list(shingle_sets(part.column(1), SIZE))
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -202,7 +207,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
     def describe(batches):
         """A row for each document, and the common blocks of each batch as rows without doc_id."""
-        for batch, sets in _set_rows(batches):
+        for batch, sets in _set_rows(batches, COUNTED):
             seen, blocks = set(), []
             described = [(*sums(s), len(s)) for s in sets]
             for s, d in zip(sets, described, strict=True):
@@ -210,7 +215,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
                     seen.add(d)
                     blocks += [block_words(s, bits) for bits in bands(len(s))]
             word, count = np.unique(np.concatenate(blocks) if blocks else np.zeros(0, "u8"), return_counts=True)
-            some = count >= max(3, len(seen) * COMMON)
+            some = count >= max(2, len(seen) * COMMON)
             word, count = word[some].astype("i8"), count[some]
             more = len(word)
             cols = [[*(d[0] for d in described), *word.tolist()], [*(d[1] for d in described), *[0] * more], [*(d[2] for d in described), *count.tolist()]]

@@ -32,7 +32,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def text_blocks(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with about `most` bytes; at least one row each."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], "i8")[column.offset : column.offset + len(column) + 1]
