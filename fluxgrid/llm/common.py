@@ -38,6 +38,9 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         """Only for tables that no DataFrame handed out still reads."""
         for name in names:
