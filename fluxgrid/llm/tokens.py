@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -41,6 +40,10 @@ class PieceEncoder:
         self.plain.encode_special_tokens = True
         self.tokenizer.add_tokens([AddedToken(MARK, normalized=False)])
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.plain.get_vocab()
+        # A byte-level vocabulary spells every byte as one character.
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, "i8")
+        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.mark = self.tokenizer.token_to_id(MARK)
         self.cache: dict[str, bytes] = {}
         self.once = np.zeros(1 << 22, bool)
@@ -62,41 +65,57 @@ class PieceEncoder:
             return piece
         return piece[:-1] if piece[-1:] == " " else " " + piece
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        texts = [self._source(p) for p in pieces]
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _between_marks(self, texts: list[str]) -> list[bytes]:
         width, joined = self.dtype.itemsize, "".join([t + MARK for t in texts])
         if joined.count(MARK) != len(texts):
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+            return self._one_by_one(texts)
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
         ends = (np.flatnonzero(ids == self.mark) * width).tolist()
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *(e + width for e in ends[:-1])], ends, strict=True)]
 
+    def _end_to_end(self, texts: list[str]) -> list[bytes]:
+        """Pieces that begin with a space and end with a visible character: their ids tile the bytes of the joined text."""
+        ids = np.array(self.plain.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.cumsum(self.n_bytes[ids])
+        cut = np.searchsorted(ends, np.cumsum([len(t.encode()) for t in texts])) + 1
+        raw, at = ids.tobytes(), (cut * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+
+    def _ids(self, pieces: list[str]) -> dict[str, bytes]:
+        if self.lowers:
+            return dict(zip(pieces, self._between_marks(pieces), strict=True))
+        odd = [p for p in pieces if p == "" or p[-1].isspace()]
+        plain = [p for p in pieces if p != "" and not p[-1].isspace()]
+        out = dict(zip(odd, self._one_by_one([self._source(p) for p in odd]), strict=True)) if odd else {}
+        return out | dict(zip(plain, self._end_to_end([" " + p for p in plain]), strict=True)) if plain else out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces, found = [self.split(t) for t in texts], self.cache
-        missing = set(filterfalse(found.__contains__, chain.from_iterable(pieces)))
+        pieces, cache = [self.split(t) for t in texts], self.cache
+        found = [list(map(cache.get, ps)) for ps in pieces]
+        missing = {p for ps, row in zip(pieces, found, strict=True) if None in row for p, v in zip(ps, row, strict=True) if v is None}
         # A letter and a sign behind it are never merged: such a piece is made of its word and the sign.
         signed = [p for p in missing if p[-1:] in self.signs and p[-2:-1].isalpha()]
         missing.difference_update(signed)
-        missing.update([p[:-1] for p in signed if p[:-1] not in found])
-        new = list(missing)
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            found.update(zip(part, self._ids(part), strict=True))
+        missing.update([p[:-1] for p in signed if p[:-1] not in cache])
+        todo, new = list(missing), {}
+        for start in range(0, len(todo), 10_000):
+            new |= self._ids(todo[start : start + 10_000])
         for p in signed:
-            found[p] = found[p[:-1]] + self.signs[p[-1]]
-        out = [b"".join(map(found.__getitem__, ps)) for ps in pieces]
-        new += signed
-        size = len(found) - len(new)
-        if size > CACHE // 2:
-            slots = np.fromiter(map(hash, new), "i8", len(new)) & (len(self.once) - 1)
-            again = self.once[slots] & (size < CACHE)
+            word = p[:-1]
+            new[p] = (new[word] if word in new else cache[word]) + self.signs[p[-1]]
+        out = [b"".join([new[p] if v is None else v for p, v in zip(ps, row, strict=True)] if None in row else row) for ps, row in zip(pieces, found, strict=True)]
+        if len(cache) > CACHE // 2:
+            names = list(new)
+            slots = np.fromiter(map(hash, names), "i8", len(names)) & (len(self.once) - 1)
+            again = self.once[slots] & (len(cache) < CACHE)
             self.once[slots] = True
+            cache.update((p, new[p]) for p, seen in zip(names, again.tolist(), strict=True) if seen and len(p) <= PIECE)
         else:
-            again = np.ones(len(new), bool)
-        for piece, seen in zip(new, again.tolist(), strict=True):
-            if not seen or len(piece) > PIECE:
-                del found[piece]
+            cache.update((p, v) for p, v in new.items() if len(p) <= PIECE)
         return out
 
 
