@@ -13,8 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Cached pieces of one Python worker: about 200 MB. Above half of that, a piece enters when it is seen in a second block.
-CACHE = 900_000
+#: Cached pieces of one Python worker: about 120 MB. Above half of that, a piece enters when it is seen in a second block.
+CACHE = 500_000
 #: Longer pieces are seldom seen twice.
 PIECE = 48
 #: A token of its own, from the private use area, between pieces that are encoded together.
@@ -33,21 +33,21 @@ class PieceEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import AddedToken, Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
         self.lowers = self.tokenizer.normalizer is not None
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.tokenizer.add_tokens([AddedToken(MARK, normalized=False)])
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.plain.get_vocab()
-        # A byte-level vocabulary spells every byte as one character.
-        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, "i8")
-        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self.mark = self.tokenizer.token_to_id(MARK)
         self.cache: dict[str, bytes] = {}
         self.once = np.zeros(1 << 22, bool)
-        self.signs = {c: np.array(self.plain.encode(c, add_special_tokens=False).ids, self.dtype).tobytes() for c in ".,"}
+        self.signs = dict(zip(".,", self._one_by_one([".", ","]), strict=True))
+        if self.lowers:
+            self.tokenizer.add_tokens([AddedToken(MARK, normalized=False)])
+            self.mark = self.tokenizer.token_to_id(MARK)
+        else:
+            # A byte-level vocabulary spells every byte as one character.
+            vocabulary = self.tokenizer.get_vocab()
+            self.n_bytes = np.zeros(max(vocabulary.values()) + 1, "i8")
+            self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
 
     def split(self, text: str) -> list[str]:
         """Pieces whose ids, one after the other, are those of the text. A piece stands for itself behind a space; with a
@@ -66,7 +66,11 @@ class PieceEncoder:
         return piece[:-1] if piece[-1:] == " " else " " + piece
 
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        tokenizer = self.tokenizer
+        if any(MARK in t for t in texts):
+            tokenizer = type(tokenizer).from_file(self.path)
+            tokenizer.encode_special_tokens = True
+        return [np.array(e.ids, self.dtype).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _between_marks(self, texts: list[str]) -> list[bytes]:
         width, joined = self.dtype.itemsize, "".join([t + MARK for t in texts])
@@ -79,7 +83,7 @@ class PieceEncoder:
 
     def _end_to_end(self, texts: list[str]) -> list[bytes]:
         """Pieces that begin with a space and end with a visible character: their ids tile the bytes of the joined text."""
-        ids = np.array(self.plain.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, self.dtype)
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, self.dtype)
         ends = np.cumsum(self.n_bytes[ids])
         cut = np.searchsorted(ends, np.cumsum([len(t.encode()) for t in texts])) + 1
         raw, at = ids.tobytes(), (cut * self.dtype.itemsize).tolist()
