@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -42,9 +43,11 @@ class Workspace:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Only for tables that no DataFrame handed out still reads."""
+        """Only for tables that no DataFrame handed out still reads. Shuffle files of finished steps go as well."""
         for name in names:
             drop_path(self.spark, f"{self.root}/{name}")
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def only_ids(rows: DataFrame, ids: DataFrame, key: str, count: int, bound: int = BROADCAST_IDS) -> DataFrame:
