@@ -1,0 +1,126 @@
+"""Decontamination, the quality classifier, the secret scan and the pipeline."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from fixtures import clashing, stored, table, words
+
+import corpus_pipeline
+from conftest import SF
+from fluxgrid.llm import queries
+from fluxgrid.llm.decontaminate import align, contaminated, decontaminate
+from fluxgrid.llm.quality import classify, features, keep_good, train
+from fluxgrid.llm.secrets import candidates, labelled_findings, scan_secrets
+
+
+def plain_align(a, b):
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if x == y else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    return int(h.max())
+
+
+def test_align():
+    r = np.random.default_rng(0)
+    for _ in range(50):
+        a, b = r.integers(0, 5, 12).astype("u8"), r.integers(0, 5, 30).astype("u8")
+        s, lo, hi = align(a, b)
+        assert s == plain_align(a, b) == plain_align(a, b[lo : hi + 1])
+
+
+def bench(spark, rows):
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def test_decontamination(spark):
+    r = random.Random(5)
+    items = [(k, " ".join(words(r, 30, 5000))) for k in range(12)] + [(90, None), (91, "too short"), (92, "")]
+    rows, want = [], set()
+    for i in range(60):
+        w, k = words(r, 200, 5000), i % 12
+        item = items[k][1].split(" ")
+        if i % 5 == 0:
+            w[50:50] = [x.upper() + "," for x in item]
+            want.add((i, k))
+        elif i % 5 == 1:
+            for p in range(4, 30, 8):
+                item[p] = "changed"
+            w[90:90] = item
+            want.add((i, k))
+        elif i % 5 == 2:
+            w[10:10] = item[:6]
+        rows.append((i, " ".join(w)))
+    rows += [(100, None), (101, ""), (None, items[0][1])]
+    docs = clashing(table(spark, rows))
+    found = {(x["doc_id"], x["item_id"]) for x in contaminated(docs, bench(spark, items)).collect()}
+    assert found == want | {(None, 0)}
+    clean = decontaminate(docs, bench(spark, items))
+    assert {x["doc_id"] for x in clean.collect()} == {i for i, _ in rows} - {i for i, _ in found} and clean.columns == docs.columns
+    assert contaminated(docs, bench(spark, [])).count() == 0 == contaminated(table(spark, []), bench(spark, items)).count()
+
+
+def test_quality_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    rows = classify(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in rows["doc_id"])
+    assert (rows["predicted"] == rows["quality"]).mean() > 0.95 and rows["score"].between(0, 1).all()
+
+
+def test_quality_cases(spark):
+    docs = clashing(table(spark, [(1, None), (2, ""), (None, "fine words"), (3, "x " * 5000), (3, "x " * 5000)]))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows = classify(docs, none).collect()
+    assert len(rows) == 5 and {r["score"] for r in rows} == {0.5}
+    odd = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (2, None)], "doc_id long, quality int")
+    assert classify(docs, odd).count() == 5
+    kept = keep_good(docs, none)
+    assert kept.count() == 5 and kept.columns == docs.columns and classify(table(spark, []), none).count() == 0
+
+
+def test_training_learns_interactions():
+    r = np.random.default_rng(2)
+    x = r.uniform(-1, 1, (4000, 3))
+    y = ((x[:, 0] > 0) != (x[:, 1] > 0)).astype(float)
+    m = train(x[:3000], y[:3000])
+    assert ((m.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9 and (1, 0) in m.pairs
+    assert len(features("")) == len(features("a b\nc"))
+
+
+def test_secrets(spark):
+    texts = labelled_findings(400, seed=99)
+    docs = clashing(table(spark, [(k, t) for k, (t, _) in enumerate(texts)]))
+    truth = {k: y for k, (_, y) in enumerate(texts)}
+    rows = scan_secrets(docs).collect()
+    hit = {r["doc_id"] for r in rows if r["secret"]}
+    right = sum((k in hit) == bool(y) for k, y in truth.items())
+    assert right / len(truth) > 0.97
+    odd = table(spark, [(1, None), (2, ""), (None, 'token = "0123456789abcdef0123456789abcdef01234567"'), (3, "short 12")])
+    assert {(r["doc_id"], r["secret"]) for r in scan_secrets(odd).collect()} == {(None, True)}
+    assert candidates(table(spark, []), "doc_id").count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    docs = stored(spark, [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()], tmp_path / "0")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        docs = stage(spark, docs, SF)
+        if k < 4:
+            assert docs.columns == before.columns, name
+            docs.write.parquet(str(tmp_path / str(k + 1)))
+            docs = spark.read.parquet(str(tmp_path / str(k + 1)))
+            assert 0 < docs.count() <= before.count()
+    got = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in docs.collect())
+    assert got == sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect())
+
+
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n.startswith("op")])
+def test_queries_cover_their_tables(spark, name):
+    rows = queries.queries()[name](spark, SF)
+    table_ = "conversations" if name.startswith("op1_") else "documents"
+    if name.split("_")[0] in ("op3", "op4", "op5", "op6", "op7", "op8", "op10"):
+        assert rows.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/{table_}.parquet").count()
+    else:
+        assert rows.count() > 0
