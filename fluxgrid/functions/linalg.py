@@ -90,11 +90,11 @@ def _subspace(op: Op, spark: SparkSession, k: int, rounds: int = 8, seed: int =
 
 def hutchpp(op: Op, spark: SparkSession, m: int = 126, seed: int = 0) -> float:
     """Stochastic trace: exact on a sketch of the range, Hutchinson's estimate on the rest. m applications."""
-    k = min(max(1, m // 3), op.dim_size)
+    k = max(1, m // 3)
+    if k >= op.dim_size:
+        return trace(op, spark)
     q = orthonormal(op.apply(_panel(spark, op.dim, k, seed)).written(), k).written()
     exact = float(np.trace(_products(q, op.apply(q), k)))
-    if k >= op.dim_size:
-        return exact
     g = _panel(spark, op.dim, k, seed + 1)
     inside = _combine(q, _products(q, g, k))
     rest = g.plus(inside, 1, -1).written()
