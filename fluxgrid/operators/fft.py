@@ -26,7 +26,7 @@ def per_block(x: Grid, inner: list[int], out_sizes: dict[int, int], fn) -> Grid:
     sizes = [out_sizes.get(k, x.shape[k]) for k in inner]
     columns = ["s", *names, "v"]
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         block = np.zeros(shape)
         block[tuple(rows[names[k]].to_numpy() for k in inner)] = rows["v"].to_numpy()
         done = fn(block)

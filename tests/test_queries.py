@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
@@ -21,7 +22,7 @@ def tables():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("null" if v is None or v != v or str(v) == "<NA>" else round(float(v), 5) if isinstance(v, float | np.floating) else str(v) for v in r) for r in df.astype(object).itertuples(index=False))
+    return sorted((tuple("null" if pd.isna(v) else str(round(float(v), 5) + 0.0) for v in r) for r in df.astype(object).itertuples(index=False)), key=str)
 
 
 @pytest.mark.parametrize("name", NAMES)
