@@ -432,7 +432,7 @@ on("vectorize", "vec", lambda x: vectorize(lambda a: a[::-1].cumsum(), (64,))(x)
 on("from_matvec", "vec", lambda x: from_matvec(LINEAR, 64, 64, lambda a: 2 * a, lambda a: 2 * a).apply(x), t.each("vec", "2 * v"))
 on("from_source", "vec", lambda x: from_source(LINEAR, 64, 64, apply=lambda a: a.scale(4.0), adjoint=lambda a: a.scale(4.0)).adjoint(x), t.each("vec", "4 * v"))
 add("peaks", lambda spark, d: out(signals.plane(spark, 7, 7, signals.peaks)), "select i0::bigint as i0, i1::bigint as i1, round(3 * (1 - x) * (1 - x) * exp(-x * x - (y + 1) * (y + 1)) - 10 * (x / 5 - x * x * x - pow(y, 5)) * exp(-x * x - y * y) - exp(-(x + 1) * (x + 1) - y * y) / 3, 6) + 0.0 as v from (select i0, i1, (i0 - 3)::double x, (i1 - 3)::double y from (select unnest(generate_series(0, 6)) i0) cross join (select unnest(generate_series(0, 6)) i1))")
-add("star_sample", lambda spark, d: out(signals.star(spark, 16)))
+add("star_sample", lambda spark, d: out(signals.star(spark, 16, 2)), "select i0::bigint as i0, i1::bigint as i1, round(v / max(v) over (), 6) + 0.0 as v from (select i0, i1, pow(greatest((1 + cos(8 * atan2(y, x))) / (1 + exp(20 * (sqrt(x * x + y * y) - 0.7))), 0.0) / 2, 3) v from (select i0, i1, -1 + 2.0::double * i0 / 15 y, -1 + 2.0::double * i1 / 15 x from (select unnest(generate_series(0, 15)) i0) cross join (select unnest(generate_series(0, 15)) i1)))")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

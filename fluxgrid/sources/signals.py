@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,15 +60,16 @@ def peaks(x: Column, y: Column) -> Column:
     return hills - pits - F.exp(-(x + 1) * (x + 1) - y * y) / 3
 
 
-def star(spark: SparkSession, n: int, order: int = 8, spread: float = 3.0, soft: float = 1.0) -> Grid:
-    """A star-like image of even size, its largest value 1."""
+def star(spark: SparkSession, n: int, w: int = 8, s: float = 20.0, po: float = 3.0, x0: float = 0.7) -> Grid:
+    """A star of 4 w rays on [-1, 1] squared (even n), fading over a sigmoid of slope s at radius x0, raised to a power,
+    its largest value 1."""
     if n % 2:
         raise ValueError("the size must be even")
 
-    def ray(x: Column, y: Column) -> Column:
-        angle, radius = F.atan2(y, x), F.sqrt(x * x + y * y)
-        return F.exp(-F.pow(radius / spread, F.lit(2.0))) * (1 + F.cos(angle * order)) / (2 * soft)
+    def ray(y: Column, x: Column) -> Column:
+        fade = 1 + F.exp(s * (F.sqrt(x * x + y * y) - x0))
+        return F.pow(F.greatest((1 + F.cos(4 * w * F.atan2(y, x))) / fade, F.lit(0.0)) / 2, F.lit(float(po)))
 
-    image = plane(spark, n, n, ray, -math.pi, math.pi)
+    image = plane(spark, n, n, ray, -1.0, 1.0)
     top = image.df.agg(F.max("v").alias("top"))
     return Grid(image.df.crossJoin(F.broadcast(top)).select("s", "i0", "i1", (F.col("v") / F.col("top")).alias("v")), image.shape)
