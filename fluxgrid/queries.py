@@ -118,7 +118,7 @@ on("sum_all", "heat", axes.Sum((30, 24)), _H + f"select 0::bigint as i0, 0::bigi
 on("sum_axis0", "heat", axes.Sum((30, 24), 0), _H + f"select 0::bigint as i0, i1::bigint as i1, {t.rounded('sum(v)')} from heat group by i1")
 on("sum_axis01", "tile", axes.Sum((8, 8), (0, 1)), _TI + f"select s::bigint as s, 0::bigint as i0, 0::bigint as i1, {t.rounded('sum(v)')} from tile group by s")
 on("sum_adj", "heat", lambda x: (lambda s: s.adjoint(s.apply(x)))(axes.Sum((30, 24), 1)), _H + f"select i0::bigint as i0, i1::bigint as i1, {t.rounded('sum(v) over (partition by i0)')} from heat")
-add("sum_multi_axes", lambda spark, d: axes.sums_over(signals.heat(spark, d), [(0,), (1,), (0, 1)]).select("i0", "i1", F.col("v").alias("v")), _H + "select i0::bigint as i0, i1::bigint as i1, sum(v) as v from heat group by grouping sets ((i1), (i0), ())")
+add("sum_multi_axes", lambda spark, d: axes.sums_over(signals.heat(spark, d), [(0,), (1,), (0, 1)]).select(*(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("i0", "i1")), "v"), _H + "select coalesce(i0, -1)::bigint as i0, coalesce(i1, -1)::bigint as i1, sum(v) as v from heat group by grouping sets ((i1), (i0), ())")
 
 # -- linear operators ---------------------------------------------------------------------------------------------------
 _M = t.with_("mat unit")
