@@ -36,6 +36,7 @@ SPAN, GRAM = 100, 32
 #: Suffixes in a run and, about, in a bucket.
 RUN, BUCKET = 200_000, 40_000
 NO_ID = -(1 << 63)
+KNOWN, STANDS = 2, 1
 
 _R = np.random.Generator(np.random.PCG64(771))
 _BYTE = _R.integers(0, 1 << 64, 256, "u8")
@@ -215,30 +216,43 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, texts: bool = False) -> Data
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of(docs).alias("text"))
 
     def places(batches):
+        """key, row, place and mark. Places whose key recurs in a batch are known to go on (mark KNOWN); one of them stands
+        for the key in the exchange (mark STANDS), so a key that is everywhere comes once from each batch."""
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, data, offsets in text_blocks(batch.column(1)):
                 at, h = anchors(data, offsets, span)
                 doc = np.searchsorted(offsets, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype("i8")), pa.array(ids[first + doc]), pa.array((at - offsets[doc]).astype("i4"))], names=["key", "row", "at"])
+                _, one, back, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                again = times[back] > 1
+                stands = one[times > 1]
+                pick = np.concatenate([np.arange(len(h)), stands])
+                mark = np.concatenate([np.where(again, KNOWN, 0), np.full(len(stands), STANDS)]).astype("i4")
+                yield pa.RecordBatch.from_arrays([pa.array(h[pick].astype("i8")), pa.array(ids[first + doc[pick]]), pa.array((at - offsets[doc])[pick].astype("i4")), pa.array(mark)], names=["key", "row", "at", "mark"])
 
     def shared(batches):
-        """(row, place) of keys seen twice or more; rows come sorted by key."""
+        """(row, place) of the places that go on; rows come sorted by key, those known in between."""
         last, held = None, None
         for batch in batches:
-            k, r, p = (batch.column(i).to_numpy() for i in range(3))
-            if not len(k):
-                continue
-            same = np.concatenate([[last is not None and k[0] == last], k[1:] == k[:-1]])
-            out = same | np.concatenate([same[1:], [False]])
-            r_out, p_out = r[out], p[out]
-            if same[0] and held is not None:
-                r_out, p_out = np.append(r_out, held[0]), np.append(p_out, held[1])
-            held = None if out[-1] else (r[-1], p[-1])
-            last = k[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(r_out), pa.array(p_out.astype("i4"))], names=["row", "at"])
-
-    met = rows.select("row", "text").mapInArrow(places, "key long, row long, at int").repartition("key").sortWithinPartitions("key").mapInArrow(shared, "row long, at int")
+            k, r, p, m = (batch.column(i).to_numpy() for i in range(4))
+            known = m == KNOWN
+            r_out, p_out = [r[known]], [p[known]]
+            k, r, p, m = (x[~known] for x in (k, r, p, m))
+            if len(k):
+                same = np.concatenate([[last is not None and k[0] == last], k[1:] == k[:-1]])
+                met_ = same | np.concatenate([same[1:], [False]])
+                out = met_ & (m != STANDS)
+                r_out.append(r[out])
+                p_out.append(p[out])
+                if same[0] and held is not None:
+                    r_out.append(np.array([held[0]]))
+                    p_out.append(np.array([held[1]]))
+                held = None if met_[-1] or m[-1] == STANDS else (r[-1], p[-1])
+                last = k[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r_out).astype("i8")), pa.array(np.concatenate(p_out).astype("i4"))], names=["row", "at"])
+
+    spread = F.when(F.col("mark") == KNOWN, F.xxhash64("row", "at")).otherwise(F.col("key"))
+    met = rows.select("row", "text").mapInArrow(places, "key long, row long, at int, mark int").repartition(spread).sortWithinPartitions("key").mapInArrow(shared, "row long, at int")
     met = work.write(met.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("at")), "places")
     n_rows, n_places = met.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
     buckets = max(64, n_places // BUCKET)
