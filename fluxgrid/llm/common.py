@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -56,5 +58,17 @@ def only_ids(rows: DataFrame, ids: DataFrame, key: str, count: int, bound: int =
     return rows.join(F.broadcast(ids) if count <= bound else ids.hint("merge"), key, "left_semi")
 
 
+def tidy(run):
+    """run, a function of Arrow batches; when its task ends, memory that the worker no longer uses goes back to the system,
+    so that idle workers stay small."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxgrid.llm.common import text_of
+from fluxgrid.llm.common import text_of, tidy
 from fluxgrid.llm.shingles import combine, text_blocks, words
 
 GRAM, STRIDE, MIN_WORDS, THRESHOLD = 3, 4, 5, 0.5
@@ -125,7 +125,7 @@ def _count(docs: DataFrame, items: Items) -> dict[int, int]:
             h, n = np.unique(np.concatenate([s[:, 1] for s in seen]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.astype("i8")), pa.array(n.astype("i8"))], names=["gram", "n"])
 
-    return {r["gram"]: r["n"] for r in docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    return {r["gram"]: r["n"] for r in docs.mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
 
 
 def _scan(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
@@ -168,7 +168,7 @@ def _scan(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word", "seeds"])
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(tidy(run), SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, stride: int = STRIDE, min_words: int = MIN_WORDS) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxgrid.llm.common import BROADCAST_IDS, Workspace, only_ids, text_of
+from fluxgrid.llm.common import BROADCAST_IDS, Workspace, only_ids, text_of, tidy
 from fluxgrid.llm.components import components
 from fluxgrid.llm.shingles import mix, shingle_sets
 
@@ -44,7 +44,7 @@ SIZE = 5
 #: Share of documents from which a block counts as common, and how many such blocks are kept (8 bytes each, broadcast).
 COMMON, MOST_COMMON = 0.0003, 200_000
 #: Documents whose blocks are counted together.
-COUNTED = 4_000
+COUNTED = 2_000
 #: Members of a key up to which pairs are formed before their sketches are fetched, and members that meet in one task.
 SMALL, CELL = 6, 2_000
 #: Members of a key from which they meet in a chain first.
@@ -223,7 +223,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
             ids = [pa.concat_arrays([batch.column(k), pa.nulls(more, pa.int64())]) for k in (0, 2)]
             yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, pa.int64()) for c in cols), sketches], names=["doc_id", "row", "digest", "second", "n", "sketch"])
 
-    described = work.write(numbered.mapInArrow(describe, "doc_id long, row long, digest long, second long, n long, sketch binary"), "described")
+    described = work.write(numbered.mapInArrow(tidy(describe), "doc_id long, row long, digest long, second long, n long, sketch binary"), "described")
     rows = described.where("doc_id is not null").select("doc_id", "row", "digest", "n")
     blocks = described.where("doc_id is null").groupBy("digest").agg(F.sum("n").alias("n"))
     total = rows.count()
@@ -274,7 +274,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
                 head, told = heads[-1], bool(out[-1])
             last_key, last = end_key, end
 
-    met = texts.mapInArrow(keys, "key long, digest long").repartition("key").sortWithinPartitions("key", "digest").mapInArrow(shared, "key long, digest long, head long, many boolean")
+    met = texts.mapInArrow(tidy(keys), "key long, digest long").repartition("key").sortWithinPartitions("key", "digest").mapInArrow(tidy(shared), "key long, digest long, head long, many boolean")
     met = work.write(met, "shared")
     of = {x: classes.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"}
 
@@ -310,10 +310,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         pairs = work.write(pairs, f"open-{name}")
         wanted = work.write(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes.select("digest", "first"), "digest"), f"wanted-{name}")
         few = only_ids(texts, wanted.select(F.col("first").alias("doc_id")), "doc_id", wanted.count())
-        held = few.mapInArrow(sets, "digest long, members binary").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+        held = few.mapInArrow(tidy(sets), "digest long, members binary").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
         held = work.write(held, f"sets-{name}")
         left, right = (held.select(F.col("digest").alias(k), F.col("members").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        return work.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), name)
+        return work.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long"), name)
 
     of_key = Window.partitionBy("key")
     star = met.where("digest <> head").select("digest", F.col("head").alias("other"))

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Cached pieces of one Python worker: about 120 MB. Above half of that, a piece enters when it is seen in a second block.
+#: Cached pieces of one Python worker: about 120 MB; half of that for the vocabulary of whole words. Above half of that, a piece enters when it is seen in a second block.
 CACHE = 500_000
 #: Longer pieces are seldom seen twice.
 PIECE = 48
@@ -38,6 +38,7 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
         self.lowers = self.tokenizer.normalizer is not None
         self.cache: dict[str, bytes] = {}
+        self.room = CACHE // 2 if self.lowers else CACHE
         self.once = np.zeros(1 << 22, bool)
         self.signs = dict(zip(".,", self._one_by_one([".", ","]), strict=True))
         if self.lowers:
@@ -112,10 +113,10 @@ class PieceEncoder:
             word = p[:-1]
             new[p] = (new[word] if word in new else cache[word]) + self.signs[p[-1]]
         out = [b"".join([new[p] if v is None else v for p, v in zip(ps, row, strict=True)] if None in row else row) for ps, row in zip(pieces, found, strict=True)]
-        if len(cache) > CACHE // 2:
+        if len(cache) > self.room // 2:
             names = list(new)
             slots = np.fromiter(map(hash, names), "i8", len(names)) & (len(self.once) - 1)
-            again = self.once[slots] & (len(cache) < CACHE)
+            again = self.once[slots] & (len(cache) < self.room)
             self.once[slots] = True
             cache.update((p, new[p]) for p, seen in zip(names, again.tolist(), strict=True) if seen and len(p) <= PIECE)
         else:
