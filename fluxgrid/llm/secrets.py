@@ -1,12 +1,18 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are white-space separated words of 12 characters or more that hold a digit. Of each, quotes and signs around
-it are taken off and an assignment is split (`password=...`, `key: ...`) into a name and a value. The forest sees the
-value's length, character classes and transitions, distinct characters, the share covered by a small dictionary of
-common syllables, its path signs, the name and the two words before.
+Every white-space separated word gives candidates: the word itself without quotes and signs around it, an assignment
+(`password=...`, `key: ...`) split into a name and a value, and, where it holds separators, every further assignment and
+every token run inside (JSON, query strings, paths). The forest sees the value's length, character classes and
+transitions, distinct characters, the share covered by a small dictionary of common syllables, its path signs, the name
+and the two words before.
+
+Plain words (lower case or capitalised, no name or assignment before) are left out of the scan up to the length at which
+the largest score that the forest can give to any of them, over all that is not known of them, is below the threshold.
+So that never changes a finding. Rows are all secrets, and of the harmless candidates those that are whole words of 12 characters or
+more with a digit. A pass phrase of several words is judged word by word.
 
 The forest is trained here, on labelled findings: a table of (text, label) whose texts hold one candidate each. Without
-one, `labelled_findings` makes them from formats of keys, tokens and passwords and of harmless look-alikes (card and
+one, `labelled_findings` and `word_findings` make them from formats of keys, tokens and passwords and of harmless look-alikes (card and
 phone numbers, addresses, hashes of commits, identifiers, paths, glued words). Its trees become CASE expressions, so the
 scan runs in DataFrame expressions alone; the driver trains on a few thousand findings, whatever the size of `docs`.
 
@@ -27,7 +33,8 @@ from pyspark.sql import functions as F
 
 from fluxgrid.llm.common import text_of
 
-LEAST_LENGTH, THRESHOLD = 12, 0.5
+#: Harmless candidates are reported from this length of the word and of the value; what is a secret does not depend on it.
+LEAST_LENGTH, LEAST_VALUE, THRESHOLD = 12, 8, 0.5
 # Words that name secrets, words that name harmless values, known beginnings, common syllables.
 SECRET_NAMES = "token|secret|password|passwd|pwd|passphrase|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential|key"
 PLAIN_NAMES = "commit|sha|sha1|sha256|md5|hash|digest|checksum|uuid|guid|id|isbn|issn|doi|version|build|ref|revision|phone|tel|card|iban|order|invoice"
@@ -41,15 +48,55 @@ def _share(value: Column, removed: str) -> Column:
     return 1 - F.length(F.regexp_replace(value, removed, "")) / F.greatest(F.length(value), F.lit(1))
 
 
-def candidates(docs: DataFrame, *keep: str) -> DataFrame:
-    """place (of the word), name, value and the features of every candidate, beside the columns in `keep`."""
+#: Signs between the pieces of a word; paths, hosts and assignments are split further into token runs.
+PIECES, RUNS = r"[\"'`{}\[\]()<>,;&?|]+", r"[\"'`{}\[\]()<>,;&?|/\\\\@=:]+"
+#: A name and a value, without the signs around them.
+PATTERN = r"^[^\p{L}\p{N}]*(?:([\p{L}_][\p{L}\p{N}_.-]*)[\"']?(?:=|:(?!//))[\"']?)?[^\p{L}\p{N}/+]*(.*?)[^\p{L}\p{N}/+=]*$"
+_AROUND = r"[^\p{L}\p{N}\"'`/+=:\\\\@]*"
+_FLAT = dict.fromkeys(("digits", "slashes", "dots", "at", "dashes", "known", "secret_name", "plain_name", "assigned", "secret_near", "quoted"), (0.0, 0.0))
+
+
+def plain_words(longest: int) -> str:
+    """Words without a letter or number, and lower case or capitalised ones of ASCII letters, up to a length."""
+    return rf"^{_AROUND}(?:(?!(?i:{KNOWN}))(?:[a-z]|[A-Za-z][a-z]{{1,{max(1, longest - 1)}}}))?{_AROUND}$"
+
+
+def plain_box(n: int) -> dict[str, tuple[float, float]]:
+    """Least and most of the features of plain words of length n, unless a name or an assignment stands before them."""
+    return _FLAT | {"length": (n, n), "upper": (0.0, 1 / n if n > 1 else 0.0), "lower": ((n - 1) / n if n > 1 else 1.0, 1.0), "runs": (1 / n, min(2, n) / n)}
+
+
+def _found(word: Column) -> Column:
+    """(name, value, whole) of the candidates in a word, each value once."""
+    split = lambda w, whole: F.struct(F.regexp_extract(w, PATTERN, 1).alias("name"), F.regexp_extract(w, PATTERN, 2).alias("value"), F.lit(whole).alias("whole"))
+    # Quotes beside = and : go, and of a chain like a=b:c=d each assignment is a piece.
+    joined = F.regexp_replace(word, "[\"'`]?([=:])[\"'`]?", "$1")
+    pieces = F.split(joined, rf"{PIECES}|[=:](?=[\p{{L}}_][\p{{L}}\p{{N}}_.-]*(?:=|:(?!//)))")
+    inner = F.concat(F.transform(pieces, lambda w: split(w, False)), F.transform(F.split(word, RUNS), lambda w: split(w, False)))
+    whole = F.array(split(word, True))
+    every = F.when(word.rlike(RUNS), F.concat(whole, inner)).otherwise(whole)
+    # Of equal values, the first with a name stays, else the first.
+    better = F.array_sort(every, lambda a, b: F.when(a["name"] == b["name"], 0).when(a["name"] == "", 1).when(b["name"] == "", -1).otherwise(0))
+    first = F.aggregate(better, F.filter(better, lambda x: F.lit(False)), lambda done, x: F.when((x["value"] == "") | F.exists(done, lambda y: y["value"] == x["value"]), done).otherwise(F.concat(done, F.array(x))))
+    return F.when(word.rlike(RUNS), first).otherwise(F.filter(whole, lambda x: x["value"] != ""))
+
+
+def candidates(docs: DataFrame, *keep: str, longest: int = 0) -> DataFrame:
+    """place (of the word), name, value, listed (a long whole word with a digit) and the features of every candidate,
+    beside the columns in `keep`; not of plain words up to the length `longest` (from 2) that no name
+    or assignment stands before."""
     words = F.filter(F.split(text_of(docs), r"\s+"), lambda w: w != "")
+    rows = docs.select(*keep, words.alias("w")).where(F.size("w") > 0)
     at = lambda i: F.coalesce(F.get("w", i), F.lit(""))
-    found = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(F.get("w", i)) >= LEAST_LENGTH) & F.get("w", i).rlike("[0-9]"))
-    rows = docs.select(*keep, words.alias("w")).where(F.size("w") > 0).select(*keep, "w", F.explode(found).alias("place"))
-    rows = rows.select(*keep, "place", F.get("w", "place").alias("word"), F.lower(F.concat_ws(" ", at(F.col("place") - 2), at(F.col("place") - 1))).alias("near"))
-    pattern = r"^[^\p{L}\p{N}]*(?:([\p{L}_][\p{L}\p{N}_.-]*)[\"']?(?:=|:(?!//))[\"']?)?[^\p{L}\p{N}/+]*(.*?)[^\p{L}\p{N}/+=]*$"
-    rows = rows.select("*", F.regexp_extract("word", pattern, 1).alias("name"), F.regexp_extract("word", pattern, 2).alias("value")).where((F.length("value") >= 8) & F.col("value").rlike("[0-9]"))
+    places = F.sequence(F.lit(0), F.size("w") - 1)
+    if longest >= 2:
+        rows = rows.withColumn("loud", F.transform("w", lambda w: w.rlike(f"[=:]$|(?i:{SECRET_NAMES})")))
+        loud = lambda i: F.coalesce(F.get("loud", i), F.lit(False))
+        places = F.filter(places, lambda i: ~at(i).rlike(plain_words(longest)) | loud(i - 1) | loud(i - 2))
+    made = F.transform(places, lambda i: F.struct(i.alias("place"), at(i).alias("word"), F.lower(F.concat_ws(" ", at(i - 2), at(i - 1))).alias("near")))
+    rows = rows.select(*keep, F.explode(made).alias("c")).select(*keep, "c.*")
+    rows = rows.select("*", F.explode(_found(F.col("word"))).alias("f")).select("*", "f.name", "f.value")
+    listed = F.col("f.whole") & (F.length("word") >= LEAST_LENGTH) & (F.length("value") >= LEAST_VALUE) & F.col("value").rlike("[0-9]")
     v, low, n = F.col("value"), F.lower("value"), F.length("value")
     classes = F.translate(v, string.ascii_uppercase + string.ascii_lowercase + string.digits, "U" * 26 + "L" * 26 + "D" * 10)
     flag = lambda c: c.cast("double")
@@ -60,7 +107,7 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
         "secret_name": flag(F.lower("name").rlike(f"(?:{SECRET_NAMES})$")), "plain_name": flag(F.lower("name").rlike(f"(?:^|[_.-])(?:{PLAIN_NAMES})$")), "assigned": flag((F.col("name") != "") | F.col("near").rlike("[=:]$")),
         "secret_near": flag(F.col("near").rlike(f"\\b(?:{SECRET_NAMES})\\b")), "plain_near": flag(F.col("near").rlike(f"\\b(?:{PLAIN_NAMES})\\b")), "quoted": flag(F.col("word").rlike("[\"'`]")),
     }
-    return rows.select(*keep, "place", "name", "value", *(feature[f].alias(f) for f in FEATURES))
+    return rows.select(*keep, "place", "name", "value", listed.alias("listed"), *(feature[f].alias(f) for f in FEATURES))
 
 
 def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
@@ -92,6 +139,39 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
     return out
 
 
+def word_findings(n: int = 4000, seed: int = 12) -> list[tuple[str, int, str]]:
+    """n texts, whether a value in them is a secret, and that value: secrets without digits, short ones, those behind other
+    assignments, and ordinary words. All else in these texts is harmless."""
+    r = random.Random(seed)
+    of = lambda chars, k: "".join(r.choices(chars, k=k))
+    syllables = ["tion", "the", "an", "ou", "eau", "er", "ung", "sch", "que", "ado", "mi", "re", "st", "nd", "ing", "lo", "pa", "hu", "t", "s", "ba", "k"]
+    word = lambda k: "".join(r.choices(syllables, k=k))
+    names = ["token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth", "private_key", "client_secret", "PASSWORD", "TOKEN", "pwd"]
+    alnum = string.ascii_letters + string.digits
+    some = lambda: r.choice((of(string.ascii_letters, r.randint(10, 32)), of(alnum, r.randint(8, 32)), word(2) + of(string.digits, 2), word(3) + of(string.digits, 2)))
+    secret = [
+        lambda _: ("{}", "AKIA" + of(string.ascii_uppercase, 16)), lambda v: (f"{r.choice(names)}={{}}", v), lambda v: (f"{r.choice(names)}: {{}}", v), lambda v: (f'{r.choice(names)} = "{{}}"', v),
+        lambda v: (f'{{{{"user":"{word(1)}","{r.choice(names)}":"{{}}"}}}}', v), lambda v: (f"https://{word(2)}.example/{word(1)}?id={of(string.digits, 2)}&{r.choice(names)}={{}}", v),
+        lambda v: (f"{r.choice(names)}={{}}", "-".join(word(2) for _ in range(4))), lambda v: (f"user={word(1)};{r.choice(names)}={{}}", v),
+    ]
+    plain = [
+        lambda: ("{}", word(r.randint(1, 4))), lambda: ("{}", word(r.randint(1, 4)).capitalize()), lambda: ("{}", word(r.randint(1, 4)).upper()), lambda: (f"{r.choice(names)} {{}}", word(r.randint(1, 3))),
+        lambda: (f"{r.choice(names)}: {{}}", word(r.randint(1, 3))), lambda: (f"{word(2)}: {{}}", word(r.randint(1, 4))), lambda: ("{}", "-".join(word(2) for _ in range(r.randint(2, 4)))), lambda: ("l'{}", word(2)),
+        lambda: ("{}", of(string.digits, r.randint(1, 8))), lambda: ("{}", of(string.ascii_letters, r.randint(1, 3))), lambda: (f"https://{word(2)}.example/{{}}/", word(2) + of(string.digits, 2)), lambda: ("{}", word(2) + of(string.digits, 2)),
+        lambda: ("{}", word(2).capitalize() + word(2).capitalize()), lambda: (f'{{{{"{word(2)}":"{{}}"}}}}', word(2)), lambda: (f"{word(1)}={{}}", word(2) + of(string.digits, 2)), lambda: ("{}", r.choice(names)), lambda: ("{}", f"{word(1)}_{word(2)}"),
+        lambda: ("{}", of("0123456789abcdef", r.choice((8, 12)))), lambda: (f"{r.choice(names)}: {{}}", of(string.digits, r.randint(1, 3))),
+    ]
+    out = []
+    for k in range(n):
+        label = k % 2
+        if label:
+            frame, value = secret[(k // 2) % len(secret)](some())
+        else:
+            frame, value = plain[(k // 2) % len(plain)]()
+        out.append((f"{word(2)} {word(3)} {frame.format(value)}{r.choice(['', '', '.', ','])} {word(2)}", label, value))
+    return out
+
+
 @dataclass
 class Tree:
     """A split on `feature` below `at` (yes, no), or a leaf of `value`."""
@@ -107,6 +187,13 @@ class Tree:
             return F.lit(self.value)
         return F.when(F.col(FEATURES[self.feature]) < self.at, self.yes.expr()).otherwise(self.no.expr())
 
+    def most(self, box: dict[str, tuple[float, float]]) -> float:
+        """The largest value in a box of features (least, most); features that are not in it are free."""
+        if self.feature < 0:
+            return self.value
+        low, high = box.get(FEATURES[self.feature], (-np.inf, np.inf))
+        return max([self.yes.most(box)] * (low < self.at) + [self.no.most(box)] * (high >= self.at))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.feature < 0:
             return np.full(len(x), self.value)
@@ -145,21 +232,45 @@ def train_forest(x: np.ndarray, y: np.ndarray, trees: int = 15, depth: int = 6,
     return forest
 
 
-def training_table(spark: SparkSession, findings: list[tuple[str, int]]) -> DataFrame:
-    rows = json.dumps([{"text": t, "label": y} for t, y in findings])
-    return spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<text:string,label:int>>")).alias("r")).select("r.*")
+def training_table(spark: SparkSession, findings: list[tuple]) -> DataFrame:
+    """(text, label, value) of findings with or without a value."""
+    rows = json.dumps([dict(zip(("text", "label", "value"), f, strict=False)) for f in findings])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<text:string,label:int,value:string>>")).alias("r")).select("r.*")
 
 
 def fit(findings: DataFrame) -> list[Tree]:
-    """A forest from labelled findings (text, label); a bounded table by its nature."""
-    rows = candidates(findings.where(F.col("label").isNotNull()), "label").select("label", *FEATURES).collect()
-    data = np.array(sorted(tuple(map(float, row)) for row in rows)).reshape(-1, 1 + len(FEATURES))
-    return train_forest(data[:, 1:], data[:, 0]) if len(data) else [Tree(0.0)]
+    """A forest from labelled findings (text, label); a bounded table by its nature. Where a column `value` names the one
+    that is meant, the other candidates of the text are harmless; without it the long words with a digit are meant, or the
+    longest value."""
+    value = findings["value"] if "value" in findings.columns else F.lit(None).cast("string")
+    named = findings.where(F.col("label").isNotNull()).select("text", "label", value.alias("meant"), F.monotonically_increasing_id().alias("row"))
+    texts: dict[int, list] = {}
+    for c in candidates(named, "row", "label", "meant").collect():
+        texts.setdefault(c["row"], []).append(c)
+    data = []
+    for found in texts.values():
+        if found[0]["meant"] is not None:
+            data += [(float(c["label"]) if c["value"] == c["meant"] else 0.0, *(float(c[f]) for f in FEATURES)) for c in found]
+        else:
+            longest = max(len(c["value"]) for c in found)
+            meant = [c for c in found if c["listed"]] or [c for c in found if len(c["value"]) == longest][:1]
+            data += [(float(c["label"]), *(float(c[f]) for f in FEATURES)) for c in meant]
+    table = np.array(sorted(data)).reshape(-1, 1 + len(FEATURES))
+    return train_forest(table[:, 1:], table[:, 0]) if len(table) else [Tree(0.0)]
+
+
+def longest_harmless(forest: list[Tree], threshold: float, most: int = 40) -> int:
+    """The length up to which no plain word can reach the threshold."""
+    lengths = range(1, most + 1)
+    safe = [sum(t.most(plain_box(n)) for t in forest) / len(forest) < threshold - 1e-6 for n in lengths]
+    return next((n - 1 for n, good in zip(lengths, safe, strict=True) if not good), most)
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, place, name, value_sha256, n_chars, score and secret (score >= threshold) of every candidate."""
-    forest = fit(training_table(docs.sparkSession, labelled_findings()) if findings is None else findings)
+    """doc_id, place, name, value_sha256, n_chars, score and secret (score >= threshold) of every secret, and of every
+    harmless long word with a digit."""
+    forest = fit(training_table(docs.sparkSession, labelled_findings() + word_findings()) if findings is None else findings)
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    scored = candidates(ids, "doc_id").withColumn("score", F.round(sum((t.expr() for t in forest), F.lit(0.0)) / len(forest), 9))
+    found = candidates(ids, "doc_id", longest=longest_harmless(forest, threshold))
+    scored = found.withColumn("score", F.round(sum((t.expr() for t in forest), F.lit(0.0)) / len(forest), 9)).where(F.col("listed") | (F.col("score") >= threshold))
     return scored.select("doc_id", "place", "name", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").alias("n_chars"), "score", (F.col("score") >= threshold).alias("secret"))
