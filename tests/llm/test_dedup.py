@@ -120,6 +120,15 @@ def test_lines(spark, tmp_path, seed):
     assert dedup_lines(clashing(docs)).columns == clashing(docs).columns
 
 
+def test_short_lines(spark, tmp_path):
+    rows = [(1, "Read more\nHome\none two three four five\n\n---"), (2, "Home\n  read more\nRead \tmore\nHome again"), (3, "Home\r\n\n \n---"), (None, "a b c d"), (4, "a b c d\na b c\na b c d e"), (5, "中文没有空格\n中文没有空格")]
+    want = {None: [], 1: [], 2: [0, 2], 3: [0, 3], 4: [0], 5: [1]}
+    docs = stored(spark, rows, tmp_path / "t")
+    assert {r["doc_id"]: r["removed"] for r in line_report(docs, short_lines=True).collect()} == want
+    texts = {r["doc_id"]: r["text"] for r in dedup_lines(docs, short_lines=True).collect()}
+    assert texts[2] == "  read more\nHome again" and texts[4] == "a b c\na b c d e" and texts[5] == "中文没有空格"
+
+
 def spans_brute(rows, span=100):
     seen, out = set(), {}
     for i, t in sorted(rows, key=order):
