@@ -154,6 +154,14 @@ def kron(a: DataFrame, b: DataFrame, shape_a: tuple[int, int], shape_b: tuple[in
     return Explicit(both.select((F.col("r0") * p + F.col("r1")).alias("row"), (F.col("c0") * q + F.col("c1")).alias("col"), (F.col("w0") * F.col("w1")).alias("w")), n * q, m * p)
 
 
+def kron_times(a: Explicit, b: Explicit, x: Grid) -> Grid:
+    """The Kronecker product of a and b, applied to one item factor by factor: a X b^T for the matrix X of x."""
+    flip = lambda g, shape: Grid(g.df.select(F.col("i0").alias("s"), F.col("s").alias("i0"), "v"), shape)
+    rows = Grid(x.df.select(F.floor(F.col("i0") / b.dim_size).alias("s"), (F.col("i0") % b.dim_size).alias("i0"), "v"), b.dim)
+    y = a.apply(flip(b.apply(rows), a.dim))
+    return Grid(y.df.select(F.lit(0).cast("long").alias("s"), (F.col("i0") * b.codim_size + F.col("s")).alias("i0"), "v"), (a.codim_size * b.codim_size,))
+
+
 def khatri_rao(a: DataFrame, b: DataFrame, shape_a: tuple[int, int], shape_b: tuple[int, int]) -> Explicit:
     """The column-wise Kronecker product of two matrices with as many columns."""
     (m, n), (p, q) = shape_a, shape_b

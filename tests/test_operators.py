@@ -4,8 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from conftest import SF
 from numeric import correlate, get, put, rng
 
+from fluxgrid import queries
 from fluxgrid.operators.axes import BroadcastAxes, ReshapeAxes, SqueezeAxes, Sum, TransposeAxes
 from fluxgrid.operators.blocks import block_diag, stack
 from fluxgrid.operators.diff import DirectionalDerivative, DirectionalHessian, Divergence, Gradient, Hessian, Jacobian, Laplacian
@@ -16,6 +18,7 @@ from fluxgrid.operators.maps import UFUNCS
 from fluxgrid.operators.select import MODES, Pad, SubSample, Trim
 from fluxgrid.operators.stencil import Convolve, Stencil
 from fluxgrid.plans.op import KINDS, Property
+from fluxgrid.sources import signals
 
 D = (5, 6)
 K = np.arange(1.0, 9).reshape(2, 4)
@@ -92,6 +95,18 @@ def test_empty_and_missing_rows(spark):
     assert get(UFUNCS["cos"]((5,)).apply(sparse), 1)[0].tolist() == [1, 1, math.cos(1), 1, 1]
 
 
+def test_products_of_whole_tables(spark):
+    rows, n = signals.mat(spark, SF)
+    m = np.zeros((n, 7))
+    for r in rows.collect():
+        m[r["row"], r["col"]] = r["w"]
+    assert n > 3
+    want = {"kron_whole": np.kron(m, m) @ (np.arange(49) % 4), "khatri_rao_whole": (m[:, None, :] * m[None, :, :]).reshape(n * n, 7) @ np.arange(1, 8)}
+    for name, values in want.items():
+        got = queries.queries()[name](spark, SF).toPandas().set_index("i0")["v"].reindex(range(n * n), fill_value=0.0)
+        assert np.allclose(got, values)
+
+
 def test_matrix(spark):
     m = rng.standard_normal((3, 4))
     table = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "row long, col long, w double")
