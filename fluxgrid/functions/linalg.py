@@ -14,6 +14,8 @@ from fluxgrid.plans.op import Property as P
 
 #: Cores up to this size may be brought to the driver as matrices.
 DENSE = 2048
+#: Residual of an eigenvalue, relative to the largest, below which subspace iteration ends.
+SETTLED = 1e-4
 
 
 def units(spark: SparkSession, shape) -> Grid:
@@ -43,12 +45,17 @@ def _matrix(op: Op, spark: SparkSession) -> np.ndarray:
 
 
 def svdvals(op: Op, spark: SparkSession, k: int = 1) -> np.ndarray:
-    """The k largest singular values, ascending: of the matrix if it is small, else by subspace iteration on the gram."""
+    """The k largest singular values, ascending: of the matrix if it is small, of the gram or cogram if one side is, else by
+    subspace iteration on the gram, where each squared value is within SETTLED of the largest of an exact one."""
     if op.has(P.LINEAR_UNITARY) and op.lipschitz == 1:
         return np.ones(k)
     if max(op.dim_size, op.codim_size) <= DENSE:
         return np.sort(np.linalg.svd(_matrix(op, spark), compute_uv=False))[-k:]
-    return np.sqrt(np.maximum(_subspace(op.gram(), spark, k), 0))[-k:]
+    if min(op.dim_size, op.codim_size) <= DENSE:
+        squares = np.linalg.eigvalsh(_matrix(op.gram() if op.dim_size <= op.codim_size else op.cogram(), spark))
+    else:
+        squares = _subspace(op.gram(), spark, k)
+    return np.sqrt(np.maximum(squares, 0))[-k:]
 
 
 def _panel(spark: SparkSession, shape, k: int, seed: int) -> Grid:
@@ -81,11 +88,18 @@ def orthonormal(x: Grid, k: int) -> Grid:
     return _combine(x, np.where(some, vectors / np.sqrt(np.where(some, values, 1)), 0.0))
 
 
-def _subspace(op: Op, spark: SparkSession, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
+def _subspace(op: Op, spark: SparkSession, k: int, rounds: int = 1000, seed: int = 1) -> np.ndarray:
+    """Ascending Ritz values, the k largest with residuals |A u - t u| of at most SETTLED of the largest; an error after
+    `rounds` without."""
     x = orthonormal(_panel(spark, op.dim, k + 2, seed), k + 2).written()
     for _ in range(rounds):
-        x = orthonormal(op.apply(x).written(), k + 2).written()
-    return np.linalg.eigvalsh(_products(x, op.apply(x), k + 2))
+        y = op.apply(x).written()
+        values, u = np.linalg.eigh(_products(x, y, k + 2))
+        squared = np.diag(u.T @ _products(y, y, k + 2) @ u) - values**2
+        if np.sqrt(np.maximum(squared[-k:], 0)).max() <= SETTLED * abs(values[-1]):
+            return values
+        x = orthonormal(y, k + 2).written()
+    raise RuntimeError(f"the singular values did not settle in {rounds} rounds")
 
 
 def hutchpp(op: Op, spark: SparkSession, m: int = 126, seed: int = 0) -> float:

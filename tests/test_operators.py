@@ -8,6 +8,7 @@ from conftest import SF
 from numeric import correlate, get, put, rng
 
 from fluxgrid import queries
+from fluxgrid.functions import linalg
 from fluxgrid.operators.axes import BroadcastAxes, ReshapeAxes, SqueezeAxes, Sum, TransposeAxes
 from fluxgrid.operators.blocks import block_diag, stack
 from fluxgrid.operators.diff import DirectionalDerivative, DirectionalHessian, Divergence, Gradient, Hessian, Jacobian, Laplacian
@@ -95,6 +96,19 @@ def test_empty_and_missing_rows(spark):
     assert get(UFUNCS["cos"]((5,)).apply(sparse), 1)[0].tolist() == [1, 1, math.cos(1), 1, 1]
 
 
+def test_singular_values_of_large_matrices(spark, monkeypatch):
+    # Close values, as those of the quantities by supplier are: eight rounds are not enough.
+    q = np.linalg.qr(rng.standard_normal((30, 7)))[0]
+    m = q @ np.diag([100.0, 9.0, 8.7, 8.5, 8.3, 8.1, 8.0]) @ np.linalg.qr(rng.standard_normal((7, 7)))[0]
+    op = Explicit(spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "row long, col long, w double"), 7, 30)
+    monkeypatch.setattr(linalg, "DENSE", 10)
+    assert np.allclose(op.svdvals(spark, 3), [8.7, 9.0, 100.0])
+    assert np.allclose(op.T.svdvals(spark, 3), [8.7, 9.0, 100.0])
+    d = np.r_[10.0, 9.0, np.linspace(5, 1, 10)]
+    both = Explicit(spark.createDataFrame([(i, i, float(v)) for i, v in enumerate(d)], "row long, col long, w double"), 12, 12)
+    assert np.allclose(both.svdvals(spark, 2), [9.0, 10.0], rtol=1e-4)
+
+
 def test_products_of_whole_tables(spark):
     rows, n = signals.mat(spark, SF)
     m = np.zeros((n, 7))
