@@ -412,7 +412,7 @@ def _blur() -> Op:
 on("cg_1step", "vec", lambda x: cg.CG(_blur()).fit(b=x, max_iter=1).solution(), _V + f"select x.s::bigint as s, x.i0::bigint as i0, {t.rounded('x.v * a.a')} from vec x join (select s, sum(x.v * x.v) / sum(x.v * c.v) a from vec x join {_SM1} c using (s, i0) group by s) a using (s)")
 on("cg", "vec", lambda x: cg.CG(_blur() + linop.Homothety(64, 0.5)).fit(b=x, stop=AbsError(1e-3, "residual") | MaxIter(6)).solution())
 on("pinv_broadcast", "daily", lambda x: axes.BroadcastAxes((1,), (2499,)).pinv(x, damp=1.0), t.with_("daily") + f"select 0::bigint as i0, {t.rounded('sum(v) / 2500')} from daily")
-add("pinv", lambda spark, d: out((lambda a: a.pinv(grid(spark.range(a.codim[0]).select(F.col("id").alias("i0"), (F.col("id") % 5).alias("v")), a.codim), damp=100.0, stop=MaxIter(3)))(_matrix(spark, d))))
+add("pinv", lambda spark, d: out((lambda a: a.pinv(grid(spark.range(a.codim[0]).select(F.col("id").alias("i0"), (F.col("id") % 5).alias("v")), a.codim), damp=100.0))(_matrix(spark, d))))
 add("dagger", lambda spark, d: out(select.SubSample(12, slice(0, None, 2)).dagger(1.0).apply(grid(spark.range(6).select(F.col("id").alias("i0"), (F.col("id") + 1).alias("v")), 6)).dense()), "select i0::bigint as i0, case when i0 % 2 = 0 then (i0 // 2 + 1) / 2.0 else 0.0 end::double as v from (select unnest(generate_series(0, 11)) i0)")
 add("linesearch", lambda spark, d: (lambda x: linalg.backtracking_linesearch(norm.SquaredL2Norm(64), x, x.scale(-2.0), a0=2.0))(signals.vec(spark, d)), "select vec_id::bigint as s, 0.5::double as a from embeddings")
 add("solver_history", lambda spark, d: gradient.PGD(_fit(signals.vec(spark, d)), _L1()).fit(x0=_zero(signals.vec(spark, d)), tau=1.0, acceleration=False, stop=RelError(1e-9, "x") | MaxIter(4)).stats(spark)[0].select("iteration"), "select unnest([0, 1, 2])::bigint as iteration")

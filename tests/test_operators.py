@@ -121,6 +121,15 @@ def test_products_of_whole_tables(spark):
         assert np.allclose(got, values)
 
 
+def test_pinv_query_converges(spark):
+    rows, n = signals.mat(spark, SF)
+    m = np.zeros((n, 7))
+    for r in rows.collect():
+        m[r["row"], r["col"]] = r["w"]
+    got = queries.queries()["pinv"](spark, SF).toPandas().set_index("i0")["v"].reindex(range(7))
+    assert np.allclose(got, np.linalg.solve(m.T @ m + 100 * np.eye(7), m.T @ (np.arange(n) % 5)), rtol=0, atol=6e-7)
+
+
 def test_matrix(spark):
     m = rng.standard_normal((3, 4))
     table = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "row long, col long, w double")
