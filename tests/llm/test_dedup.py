@@ -1,11 +1,12 @@
 """Exact copies, lines, shingle components and repeated spans against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
-from fixtures import clashing, corpus, stored
+from fixtures import clashing, corpus, stored, words
 
 from fluxgrid.llm.exact_dedup import exact_dedup
 from fluxgrid.llm.line_dedup import dedup_lines, line_report
@@ -168,3 +169,33 @@ def test_loser_tree_merges_front_coded_runs():
 @pytest.mark.parametrize("operator", [exact_dedup, ngram_components, line_report, suffix_dedup, dedup_lines, keep_one])
 def test_empty(empty, operator):
     assert operator(empty).count() == 0
+
+
+def test_lines_of_a_large_group(spark, tmp_path, monkeypatch):
+    """Many edited copies of a few lines, in cells that are much smaller than the groups."""
+    monkeypatch.setattr("fluxgrid.llm.line_dedup.CELL", 8)
+    r = random.Random(5)
+    base = [words(r, 24) for _ in range(3)]
+    rows = []
+    for i in range(150):
+        w = list(base[i % 3])
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"e{r.randrange(40)}"
+        rows.append((i // 2, " ".join(w) + ("\n" + " ".join(base[0]) if i % 25 == 24 else "")))
+    rows = [(i, t) for i, t in dict(rows).items()]
+    want = line_brute(rows)
+    got = {x["doc_id"]: x["removed"] for x in line_report(stored(spark, rows, tmp_path / "t")).collect()}
+    assert got == {i: gone for i, (_, gone, _) in want.items()}
+    assert 5 < sum(not g for g in got.values()) < 70
+
+
+def test_repeated_rows_and_tied_ids(spark, tmp_path):
+    text = "\n".join(f"line {k} of a text that was stored several times" for k in range(3))
+    rows = [(7, text), (7, text), (7, text), (None, text)]
+    docs = stored(spark, rows, tmp_path / "t")
+    lines = line_report(docs).collect()
+    assert sorted(r["n_removed"] for r in lines) == [0, 3, 3, 3]
+    assert [r["doc_id"] for r in lines if r["n_removed"] == 0] == [None]
+    long = "passage " * 40
+    spans = suffix_dedup(stored(spark, [(3, long + "x"), (3, long + "x"), (3, long + "y")], tmp_path / "u"))
+    assert sum(r["n_removed"] == 0 for r in spans.collect()) == 0  # the first repeats itself
