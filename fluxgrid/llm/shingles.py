@@ -12,7 +12,8 @@ import pyarrow as pa
 
 _R = np.random.Generator(np.random.PCG64(20240229))
 #: A random word for each position in a word (of the first 64; later ones repeat with another factor) and byte.
-_TABLE = _R.integers(0, 1 << 64, (64, 256), "u8")
+_RAW = _R.integers(0, 1 << 64, (64, 256), "u8")
+_TABLE = _RAW.copy()
 _MULT = _R.integers(0, 1 << 63, 64, "u8") * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -25,6 +26,17 @@ _GAPS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _BARE[:, _GAPS] = 0
 
 
+class Bytes:
+    """Random words for bytes, and which bytes separate words; fold: A-Z count as a-z."""
+
+    def __init__(self, separators: str, fold: bool):
+        self.table, self.gaps = _RAW.copy(), np.zeros(256, bool)
+        self.gaps[list(separators.encode())] = True
+        self.table[:, self.gaps] = 0
+        if fold:
+            self.table[:, 65:91] = self.table[:, 97:123]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit over all."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -44,10 +56,10 @@ def text_blocks(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int,
         start = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, bare: bool = False, tables: Bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of every word, and for each text the index of its first word (one more at the end). bare: ASCII
-    punctuation separates words too."""
-    table, gaps = (_BARE, _GAPS) if bare else (_TABLE, _SPACE)
+    punctuation separates words too. tables: others than those."""
+    table, gaps = (tables.table, tables.gaps) if tables else (_BARE, _GAPS) if bare else (_TABLE, _SPACE)
     n = len(data)
     if n == 0:
         return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(len(offsets), "i8")
