@@ -194,4 +194,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
     hits = Workspace(docs.sparkSession, "decontaminate").write(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "hits")
     hits = F.broadcast(hits) if hits.count() <= BROADCAST_IDS else hits.hint("merge")
-    return docs.join(hits.withColumnRenamed("doc_id", "__hit"), docs["doc_id"].eqNullSafe(F.col("__hit")), "left_anti")
+    # In a struct, the documents' own columns can't clash with those of the hits.
+    rows = docs.select(F.struct("*").alias("doc"))
+    return rows.join(hits, F.col("doc")["doc_id"].eqNullSafe(hits["doc_id"]), "left_anti").select("doc.*")

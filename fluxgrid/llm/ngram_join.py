@@ -22,8 +22,9 @@ pairs, those of large keys by rows that carry their sketches, once for all keys
 bounded size. No pair within a component is
 made there, and no link between different components is lost.
 
-Null texts count as empty; documents without words are linked with nothing. A null doc_id counts as the smallest. Rows
-that repeat are one class. Extra columns are not read. An empty table gives no rows. Different sets with equal 64-bit
+Null texts count as empty; documents without words are linked with nothing. A null doc_id counts as the smallest,
+as -2^63, which therefore comes back as null. Very long texts are one set of shingles held by one worker, about 16 bytes a
+word. Rows that repeat are one class. Extra columns are not read. An empty table gives no rows. Different sets with equal 64-bit
 sums are told apart by a second sum; the query stops if both are equal and the sizes are not.
 """
 
@@ -354,9 +355,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Documents without words all stay. `docs` must be a table read from files."""
     work = Workspace(docs.sparkSession, "ngram-keep")
-    rows = ngram_components(docs).where("n_shingles > 0")
-    of_component = Window.partitionBy("component_id")
-    best = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "row")).over(of_component)
-    gone = work.write(rows.withColumn("best", best).where(F.col("row") != F.col("best.row")).select(F.col("row").alias("__row")), "gone")
+    rows = work.write(ngram_components(docs).where("n_shingles > 0").select("component_id", "doc_id", "row"), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "row"))
+    stay = rows.groupBy("component_id").agg(first.alias("first")).select("first.row")
+    gone = work.write(rows.select("row").join(stay, "row", "left_anti"), "gone")
+    work.drop("rows")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    # In a struct, the documents' own columns can't clash with the row number.
+    numbered = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    return numbered.join(gone, "row", "left_anti").select("doc.*")

@@ -13,7 +13,9 @@ only suffixes whose first 32 bytes begin another suffix too go on. Then the comm
   match     neighbours that share 32 bytes or more form a group; windows of a group that an earlier member also has are
             found from common prefixes and suffixes, in large groups from hashes of its windows.
 
-Texts are UTF-8 bytes, null is empty, matches never cross documents; earlier is (doc_id, row, start), null doc_ids first.
+Texts are UTF-8 bytes, null is empty, matches never cross documents; earlier is (doc_id, row, start), null doc_ids first,
+as -2^63, which therefore comes back as null. A very long text is hashed whole by one worker, in memory that is a fixed
+multiple of its bytes.
 Rows are told apart by their place in the scan, so repeated rows are documents of their own (the later is removed) and
 `docs` must be a table read from files. Extra columns are not read. An empty table gives no rows.
 """

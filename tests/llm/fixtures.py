@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ("row", "key", "digest", "set", "n", "a", "b", "first", "label", "score", "bucket", "doc", "gone", "new", "__hits")
+EXTRA = ("row", "key", "digest", "set", "n", "a", "b", "first", "label", "score", "bucket", "doc", "gone", "new", "__hits", "__row", "__hit", "part", "token", "best")
 
 
 def words(r, n, vocabulary=400):
