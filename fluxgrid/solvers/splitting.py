@@ -102,7 +102,9 @@ class PD3O(PrimalDual):
         return tau or most, sigma or (most if tau is None or not k else 0.99 / (tau * k * k))
 
     def more(self, x0):
-        return {"u": x0}
+        """Without h nothing but u would move in the first step, and the solver would stop where it began: u starts one
+        gradient step ahead."""
+        return {"u": x0 if self.has_h else x0.plus(self.f.grad(x0), 1, -self.tau)}
 
     def step(self):
         z, u = self.state["z"], self.state["u"]

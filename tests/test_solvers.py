@@ -3,7 +3,7 @@ import pytest
 from numeric import get, put
 
 from fluxgrid.operators.linop import Explicit, Homothety, LinFunc
-from fluxgrid.operators.norm import L1Norm, QuadraticFunc, SquaredL2Norm
+from fluxgrid.operators.norm import L1Norm, PositiveOrthant, QuadraticFunc, SquaredL2Norm
 from fluxgrid.plans.op import POS_DEF
 from fluxgrid.samplers.langevin import ULA
 from fluxgrid.solvers.base import Mode
@@ -70,3 +70,12 @@ def test_samples_repeat(spark):
     chain = lambda: get(next(ULA(SquaredL2Norm(N)).samples(put(spark, B), seed=5)))
     assert np.array_equal(chain(), chain())
     assert Homothety(N, 2.0).pinv(put(spark, B)).df.count() == 2 * N
+
+
+@pytest.mark.parametrize("g", [None, PositiveOrthant(N)])
+def test_pd3o_without_h_moves_from_its_start(spark, g):
+    """|x - t|^2 from a start that the prox of g leaves alone; with g, negative places of t end at 0."""
+    t = np.array([[1.0, -2.0, 3.0, 0.5]])
+    f = SquaredL2Norm(N).argshift(put(spark, -t))
+    x = PD3O(f, g, beta=4.0).fit(x0=put(spark, np.full((1, N), 3.0)), stop=RelError(1e-4, "x") | MaxIter(25)).solution()
+    assert np.allclose(get(x)[:1], t if g is None else np.maximum(t, 0), atol=1e-2)
