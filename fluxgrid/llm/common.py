@@ -19,8 +19,11 @@ SPACES = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; only where unset, a local one."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; only where unset, and only in local mode, a
+    local one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (base or f"file://{os.path.join(tempfile.gettempdir(), 'fluxgrid-checkpoint')}").rstrip("/") + "/fluxgrid"
 
 
