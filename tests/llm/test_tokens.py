@@ -1,11 +1,13 @@
 """Packing, token files and chat formatting against the tokenizers themselves."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import pytest
 from fixtures import clashing, corpus, stored, table
+from tokenizers import Tokenizer
 
 from fluxgrid.llm.chat_format import escape, format_chats, parse, read_back, unescape
 from fluxgrid.llm.packing import binary_lengths, pack
@@ -99,3 +101,17 @@ def test_chats(spark, monkeypatch, part):
             assert r["input_ids"] and len(r["input_ids"]) == len(r["loss_mask"]) == len(r["token_start"])
             assert "".join(f"{a}\n{b}\n" for a, b in parse(r["text"])) == turns[r["conv_id"]]
     assert read_back(format_chats(table_.where("false"), BYTE)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_of_odd_texts(name, monkeypatch):
+    """Random mixes of spaces, signs and letters that change when lowered, in segments that cut most texts."""
+    monkeypatch.setattr("fluxgrid.llm.tokens.SEGMENT", 40)
+    r = random.Random(2)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "\r\n", ".", ",", "'s", "é", "İ", "ﬁ", "שׁ", "\xa0", "　", "中", "23", "<|endoftext|>", "</w>", "x" * 70, "́", "ß", "\x0b", "\x85", "word", "WORD,"]
+    texts = ["".join(r.choice(parts) + r.choice(("", " ")) for _ in range(r.randrange(30))) for _ in range(3000)]
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    plain.encode_special_tokens = True
+    words = PieceEncoder(tokenizer_path(name))
+    want = [np.array(e.ids, words.dtype).tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert words.encode(texts) == want and words.encode(texts[::-1]) == want[::-1]
