@@ -14,7 +14,7 @@ from fluxgrid.operators.blocks import block_diag, stack
 from fluxgrid.operators.diff import DirectionalDerivative, DirectionalHessian, Divergence, Gradient, Hessian, Jacobian, Laplacian
 from fluxgrid.operators.fft import CZT, FFT, FFTCorrelate
 from fluxgrid.operators.filters import DoG, GaussianFilter, MovingAverage
-from fluxgrid.operators.linop import Explicit, Homothety, Identity
+from fluxgrid.operators.linop import Explicit, Homothety, Identity, kron
 from fluxgrid.operators.maps import UFUNCS
 from fluxgrid.operators.select import MODES, Pad, SubSample, Trim
 from fluxgrid.operators.stencil import Convolve, Stencil
@@ -115,12 +115,25 @@ def test_products_of_whole_tables(spark):
     for r in rows.collect():
         m[r["row"], r["col"]] = r["w"]
     assert n > 3
-    want = {"kron_whole": np.kron(m, m) @ (np.arange(49) % 4), "khatri_rao_whole": (m[:, None, :] * m[None, :, :]).reshape(n * n, 7) @ np.arange(1, 8)}
+    want = {"kron": np.kron(m, m) @ (np.arange(49) % 4), "khatri_rao": (m[:, None, :] * m[None, :, :]).reshape(n * n, 7) @ np.arange(1, 8)}
     for name, values in want.items():
         got = queries.queries()[name](spark, SF).toPandas().set_index("i0")["v"].reindex(range(n * n), fill_value=0.0)
         assert np.allclose(got, values)
 
 
+def test_kron_matrix(spark):
+    a, b = rng.standard_normal((3, 2)), rng.standard_normal((2, 4))
+    tables = [spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "row long, col long, w double") for m in (a, b)]
+    x = rng.standard_normal((2, 8))
+    assert np.allclose(get(kron(*tables, a.shape, b.shape).apply(put(spark, x))), x @ np.kron(a, b).T)
+
+
+def test_hutchpp_estimates(spark):
+    # A full rank of 200 against sketches of 20: the trace is 200 (0.25^2 + 0.5^2 + 0.25^2).
+    op = Stencil(200, [0.25, 0.5, 0.25], 1, "wrap").gram()
+    assert math.isclose(op.trace(spark, method="hutchpp", m=60), 75, rel_tol=0.05)
+
+
 def test_pinv_query_converges(spark):
     rows, n = signals.mat(spark, SF)
     m = np.zeros((n, 7))
