@@ -26,10 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +44,34 @@ BLOCK = 12_000_000
 BROADCAST = 1_000_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _BLOCKS = "block long, doc_ids array<long>, sizes array<int>, codes binary, words array<string>, counts array<long>"
-_TOKENS = "word string, n long, a array<int>, b array<int>, a_size array<int>, b_size array<int>"
+_TOKENS = "word string, n long, a array<int>, b array<int>, a_size array<short>, b_size array<short>"
 _REPORT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 def segments(text: str) -> list[str]:
-    """The segments of space + text; each begins with a space."""
-    return _CUT.split(" " + text)
+    """The segments of space + text, without the space that each begins with."""
+    return [s[1:] for s in _CUT.split(" " + text)]
+
+
+class Segments(dict):
+    """Numbers of segments. uncertain: of strings without a space inside that are no segments, since white space lies at an end."""
+
+    def __init__(self):
+        self.uncertain: set[int] = set()
+
+    def __missing__(self, segment: str) -> int:
+        number = self[segment] = len(self)
+        if not segment or segment[0].isspace() or segment[-1].isspace():
+            self.uncertain.add(number)
+        return number
+
+    def of(self, text: str) -> np.ndarray:
+        own = text.split(" ")
+        numbers = np.fromiter(map(self.__getitem__, own), "<i4", len(own))
+        if self.uncertain and not self.uncertain.isdisjoint(numbers.tolist()):
+            own = segments(text)
+            numbers = np.fromiter(map(self.__getitem__, own), "<i4", len(own))
+        return numbers
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +79,12 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, made = TaskContext.get().partitionId(), 0
-    ids, sizes, codes, known, chars = [], [], [], defaultdict(count().__next__), 0
+    ids, sizes, codes, known, chars = [], [], [], Segments(), 0
 
     def block() -> pa.RecordBatch:
         every = np.concatenate([np.zeros(0, "<i4"), *codes])
-        values = [[(part << 32) + made], [ids], [sizes], [pa.compress(every.tobytes(), "zstd", asbytes=True)], [list(known)], [np.bincount(every, minlength=len(known))]]
+        counts = np.bincount(every, minlength=len(known))
+        values = [[(part << 32) + made], [ids], [sizes], [pa.compress(every.tobytes(), "zstd", asbytes=True)], [list(known)], [counts]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
@@ -74,14 +95,13 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text or "▁" in text:
                 sizes.append(-1)
                 continue
-            own = segments(text)
-            codes.append(np.fromiter(map(known.__getitem__, own), "<i4", len(own)))
-            sizes.append(len(own))
+            codes.append(known.of(text))
+            sizes.append(len(codes[-1]))
             chars += len(text)
             if chars >= BLOCK:
                 yield block()
                 made += 1
-                ids, sizes, codes, known, chars = [], [], [], defaultdict(count().__next__), 0
+                ids, sizes, codes, known, chars = [], [], [], Segments(), 0
     if ids:
         yield block()
 
@@ -120,18 +140,24 @@ def check_model(path_b: str) -> None:
 
 def _tokenize(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, bytes_a, bytes_b = _vocabularies(path_a, path_b)
+        a, b, *tables = _vocabularies(path_a, path_b)
+        lengths = []
+        for table in tables:
+            lengths.append(np.zeros(max(table) + 1, "i2"))
+            lengths[-1][list(table)] = [len(v) for v in table.values()]
         for batch in batches:
             words = batch.column(0).to_pylist()
-            ids_a = [e.ids for e in a.encode_batch_fast(words, add_special_tokens=False)]
-            ids_b = b.encode([w[1:] for w in words], num_threads=1)
-            sizes = []
-            for ids, table in ((ids_a, bytes_a), (ids_b, bytes_b)):
-                parts = [[table[i] for i in x] for x in ids]
-                if any(b"".join(p) != w.encode() for p, w in zip(parts, words, strict=True)):
+            raw = [(" " + w).encode() for w in words]
+            whole, sizes = b"".join(raw), np.fromiter(map(len, raw), "i8", len(raw))
+            ids_a = [e.ids for e in a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+            lists = []
+            for ids, table, length in zip((ids_a, b.encode(words, num_threads=1)), tables, lengths, strict=True):
+                flat, offsets = list(chain.from_iterable(ids)), np.append(0, np.cumsum(np.fromiter(map(len, ids), "i8", len(ids))))
+                size = length[flat]
+                if b"".join(map(table.__getitem__, flat)) != whole or (np.diff(np.append(0, np.cumsum(size, dtype="i8"))[offsets]) != sizes).any():
                     raise ValueError("a vocabulary does not give back the bytes of a segment")
-                sizes.append([list(map(len, p)) for p in parts])
-            columns = [pa.array(x, pa.list_(pa.int32())) for x in (ids_a, ids_b, *sizes)]
+                lists.append([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, t)) for v, t in ((flat, pa.int32()), (size, pa.int16()))])
+            columns = [lists[0][0], lists[1][0], lists[0][1], lists[1][1]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[c.split()[0] for c in _TOKENS.split(", ")])
 
     return run
@@ -175,16 +201,18 @@ def _gather(blocks: pa.Table, found: pa.Table) -> pa.Table:
     """The report of the texts of a block, from the results of its segments."""
     out = []
     found = found.combine_chunks()
-    where = np.argsort(found["code"].to_numpy())
-    n_a, n_best, count_sum = (found[c].to_numpy()[where] for c in ("n_a", "n_best", "count_sum"))
-    groups = found["groups"].take(pa.array(where))
-    n_groups = pc.count_substring(groups, "|").to_numpy()
-    n_b = pc.count_substring(groups, ",").to_numpy() + 2 * n_groups - n_a
-    groups = groups.to_pylist()
+    code = found["code"].to_numpy()
+    place = np.zeros(int(code.max()) + 1 if len(code) else 0, "i8")
+    place[code] = np.arange(len(code))
+    n_a, n_best, count_sum = (found[c].to_numpy() for c in ("n_a", "n_best", "count_sum"))
+    n_groups = pc.count_substring(found["groups"], "|").to_numpy()
+    n_b = pc.count_substring(found["groups"], ",").to_numpy() + 2 * n_groups - n_a
+    groups = found["groups"].to_pylist()
     for row in blocks.to_pylist():
         sizes = np.array(row["sizes"], "i8")
         held = np.maximum(sizes, 0)
         codes = np.frombuffer(pa.decompress(row["codes"], int(held.sum()) * 4, "zstd"), "<i4") if held.sum() else np.zeros(0, "<i4")
+        codes = place[codes]
         ends = np.cumsum(held)
         sums = [np.diff(np.append(0, np.append(0, np.cumsum(v[codes].astype("i8")))[ends])) for v in (n_a, n_b, n_groups, n_best, count_sum)]
         digests = [hashlib.sha256(";".join(map(groups.__getitem__, codes[e - n : e].tolist())).encode()).hexdigest() if n > 0 else "" for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
@@ -199,11 +227,12 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     spark = docs.sparkSession
     work = Workspace(spark, "alignment")
     blocks = work.write(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(tidy(_split), _BLOCKS), "blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select("block", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select("block", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("n")).where("n > 0")
 
     distinct = words.groupBy("word").agg(F.sum("n").alias("n"))
     tokens = distinct.mapInArrow(tidy(_tokenize(path_a, path_b)), _TOKENS).select(F.monotonically_increasing_id().alias("seg"), "*")
     tokens = work.write(tokens, "tokens")
+    work.drop()
     # A session of its own for the setting that align_segments wants.
     session = spark.newSession()
     session.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
@@ -220,6 +249,10 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     rated = F.broadcast(rated) if counts.count() <= BROADCAST else rated.hint("merge")
     sums = aligned.select("seg", F.explode("links").alias("pair")).join(rated, "pair").groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     values = aligned.select("seg", "word", "n_a", "groups").hint("merge").join(sums.hint("merge"), "seg").drop("seg")
+    values = work.write(values, "values")
+    del aligned, sums, rated, most
+    work.drop("aligned", "counts")
+
     found = words.select("block", "code", "word").hint("merge").join(values.hint("merge"), "word").select("block", "code", "n_a", "n_best", "count_sum", "groups")
     sides = work.read("blocks", blocks.schema).select("block", "doc_ids", "sizes", "codes").groupBy("block").cogroup(found.groupBy("block"))
     return sides.applyInArrow(_gather, _REPORT)

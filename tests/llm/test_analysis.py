@@ -12,7 +12,7 @@ from fixtures import clashing, corpus, table
 
 from fluxgrid.llm import divergence as div
 from fluxgrid.llm import topk
-from fluxgrid.llm.alignment import _vocabularies, align_report, segments
+from fluxgrid.llm.alignment import Segments, _vocabularies, align_report, segments
 from fluxgrid.llm.queries import tokenizer_path
 
 A, B = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -59,9 +59,12 @@ def test_segments_tokenize_alone():
     texts = [t for t in ("".join(r.choice(parts) + r.choice(("", " ")) for _ in range(r.randrange(1, 40))) for _ in range(2000)) if "▁" not in t] + [t for t in ODD if "▁" not in t]
     for t in texts:
         own = segments(t)
-        assert "".join(own) == " " + t
-        assert a.encode(" " + t, add_special_tokens=False).ids == [i for s in own for i in a.encode(s, add_special_tokens=False).ids], t
-        assert b.encode(t) == [i for s in own for i in b.encode(s[1:])], t
+        assert " ".join(own) == t
+        assert a.encode(" " + t, add_special_tokens=False).ids == [i for s in own for i in a.encode(" " + s, add_special_tokens=False).ids], t
+        assert b.encode(t) == [i for s in own for i in b.encode(s)], t
+        known = Segments()
+        numbers = known.of(t)
+        assert [list(known)[k] for k in numbers] == own, t
 
 
 def vectors(spark, rows):
