@@ -11,6 +11,7 @@ once for the whole corpus, and aligned by relations alone:
   that one A and one B token cover, and two tokens overlap in one stretch, so these rows are the range join of the
   tokens, in a number that grows with the tokens and never with their product.
 
+Segments are aligned and blocks gathered in WAVES waves, dealt by hash, so that shuffle files take a fraction of the input.
 The pairs of ids are counted over all segments, each as often as it occurs in the corpus. Segments get the sums over their
 links, and each block gathers its segments' results for its texts. A segment that most blocks hold is a row for each
 block, which adaptive execution splits; nothing is gathered by token id but counts that were added up before.
@@ -27,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -42,6 +43,8 @@ from fluxgrid.llm.common import Workspace, text_of, tidy
 BLOCK = 12_000_000
 #: Counted pairs up to which they are broadcast (16 bytes each, 64 MB in a hash table); beyond it they are joined by a shuffle.
 BROADCAST = 1_000_000
+#: Segments are aligned, and blocks gathered, in so many waves, each with its own shuffle files; up to ONE_WAVE segments in one.
+WAVES, ONE_WAVE = 4, 200_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _BLOCKS = "block long, doc_ids array<long>, sizes array<int>, codes binary, words array<string>, counts array<long>"
 _TOKENS = "word string, n long, a array<int>, b array<int>, a_size array<short>, b_size array<short>"
@@ -236,9 +239,16 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     # A session of its own for the setting that align_segments wants.
     session = spark.newSession()
     session.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    aligned = align_segments(session.read.schema(tokens.schema).parquet(f"{work.root}/tokens"))
-    aligned.write.parquet(f"{work.root}/aligned")
-    aligned = work.read("aligned", aligned.schema)
+    every = session.read.schema(tokens.schema).parquet(f"{work.root}/tokens")
+    waves = WAVES if tokens.count() > ONE_WAVE else 1
+    for k in range(waves):
+        part = align_segments(every.where(F.pmod("seg", F.lit(waves)) == k))
+        part.write.parquet(f"{work.root}/aligned-{k}")
+        kept = part.schema
+        del part
+        work.drop()
+    aligned = reduce(DataFrame.unionByName, (work.read(f"aligned-{k}", kept) for k in range(waves)))
+    del every
     work.drop("tokens")
 
     counts = work.write(aligned.select(F.explode("links").alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("count")), "counts")
@@ -251,8 +261,14 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     values = aligned.select("seg", "word", "n_a", "groups").hint("merge").join(sums.hint("merge"), "seg").drop("seg")
     values = work.write(values, "values")
     del aligned, sums, rated, most
-    work.drop("aligned", "counts")
-
-    found = words.select("block", "code", "word").hint("merge").join(values.hint("merge"), "word").select("block", "code", "n_a", "n_best", "count_sum", "groups")
-    sides = work.read("blocks", blocks.schema).select("block", "doc_ids", "sizes", "codes").groupBy("block").cogroup(found.groupBy("block"))
-    return sides.applyInArrow(_gather, _REPORT)
+    work.drop("counts", *(f"aligned-{k}" for k in range(waves)))
+
+    mine = lambda df, k: df.where(F.pmod(F.xxhash64("block"), F.lit(waves)) == k)
+    reports = []
+    for k in range(waves):
+        found = mine(words.select("block", "code", "word"), k).hint("merge").join(values.hint("merge"), "word").select("block", "code", "n_a", "n_best", "count_sum", "groups")
+        sides = mine(work.read("blocks", blocks.schema).select("block", "doc_ids", "sizes", "codes"), k).groupBy("block").cogroup(found.groupBy("block"))
+        reports.append(work.write(sides.applyInArrow(_gather, _REPORT), f"report-{k}"))
+        del found, sides
+        work.drop()
+    return reduce(DataFrame.unionByName, reports)

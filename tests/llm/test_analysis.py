@@ -37,7 +37,8 @@ def plain_alignment(text):
     return len(x), len(y), len(cuts), links, ";".join(groups)
 
 
-def test_alignment(spark):
+def test_alignment(spark, monkeypatch):
+    monkeypatch.setattr("fluxgrid.llm.alignment.ONE_WAVE", 10)
     rows = [(i, t) for i, t in corpus(n=24) if t is None or len(t) < 900]
     rows += [(5000 + k, t) for k, t in enumerate(ODD)] + [(5000, ODD[0]), (5002, "twice"), (5002, "twice")]
     want = [(i, plain_alignment(t)) for i, t in rows]
