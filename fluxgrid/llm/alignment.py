@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from itertools import chain
@@ -224,6 +225,15 @@ def _gather(blocks: pa.Table, found: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def _settle(work: Workspace, *names: str) -> None:
+    """Drops tables and the shuffle files of all that has ended. The last query is held until another one ran, and what a
+    collection finds goes with the next."""
+    work.spark.range(1).count()
+    work.drop(*names)
+    time.sleep(0.3)
+    work.drop()
+
+
 def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)"""
     check_model(path_b)
@@ -235,7 +245,7 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     distinct = words.groupBy("word").agg(F.sum("n").alias("n"))
     tokens = distinct.mapInArrow(tidy(_tokenize(path_a, path_b)), _TOKENS).select(F.monotonically_increasing_id().alias("seg"), "*")
     tokens = work.write(tokens, "tokens")
-    work.drop()
+    _settle(work)
     # A session of its own for the setting that align_segments wants.
     session = spark.newSession()
     session.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
@@ -246,10 +256,10 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         part.write.parquet(f"{work.root}/aligned-{k}")
         kept = part.schema
         del part
-        work.drop()
+        _settle(work)
     aligned = reduce(DataFrame.unionByName, (work.read(f"aligned-{k}", kept) for k in range(waves)))
     del every
-    work.drop("tokens")
+    _settle(work, "tokens")
 
     counts = work.write(aligned.select(F.explode("links").alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("count")), "counts")
     b_id = F.floor(F.col("pair") / (1 << 32))
@@ -261,7 +271,7 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     values = aligned.select("seg", "word", "n_a", "groups").hint("merge").join(sums.hint("merge"), "seg").drop("seg")
     values = work.write(values, "values")
     del aligned, sums, rated, most
-    work.drop("counts", *(f"aligned-{k}" for k in range(waves)))
+    _settle(work, "counts", *(f"aligned-{k}" for k in range(waves)))
 
     mine = lambda df, k: df.where(F.pmod(F.xxhash64("block"), F.lit(waves)) == k)
     reports = []
@@ -270,5 +280,5 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         sides = mine(work.read("blocks", blocks.schema).select("block", "doc_ids", "sizes", "codes"), k).groupBy("block").cogroup(found.groupBy("block"))
         reports.append(work.write(sides.applyInArrow(_gather, _REPORT), f"report-{k}"))
         del found, sides
-        work.drop()
+        _settle(work)
     return reduce(DataFrame.unionByName, reports)
