@@ -8,14 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluxgrid.functions.spectrum import largest
 from fluxgrid.plans.grid import Grid, grid, ravel, unravel
 from fluxgrid.plans.op import Op
 from fluxgrid.plans.op import Property as P
 
 #: Cores up to this size may be brought to the driver as matrices.
 DENSE = 2048
-#: Residual of an eigenvalue, relative to the largest, below which subspace iteration ends.
-SETTLED = 1e-4
 
 
 def units(spark: SparkSession, shape) -> Grid:
@@ -46,7 +45,10 @@ def _matrix(op: Op, spark: SparkSession) -> np.ndarray:
 
 def svdvals(op: Op, spark: SparkSession, k: int = 1) -> np.ndarray:
     """The k largest singular values, ascending: of the matrix if it is small, of the gram or cogram if one side is, else by
-    subspace iteration on the gram, where each squared value is within SETTLED of the largest of an exact one."""
+    block Lanczos (fluxgrid.functions.spectrum), which warns where they have not settled."""
+    own = getattr(op, "own_svdvals", None)
+    if own:
+        return np.asarray(own(spark, k))
     if op.has(P.LINEAR_UNITARY) and op.lipschitz == 1:
         return np.ones(k)
     if max(op.dim_size, op.codim_size) <= DENSE:
@@ -54,7 +56,7 @@ def svdvals(op: Op, spark: SparkSession, k: int = 1) -> np.ndarray:
     if min(op.dim_size, op.codim_size) <= DENSE:
         squares = np.linalg.eigvalsh(_matrix(op.gram() if op.dim_size <= op.codim_size else op.cogram(), spark))
     else:
-        squares = _subspace(op.gram(), spark, k)
+        return largest(op, spark, k).values
     return np.sqrt(np.maximum(squares, 0))[-k:]
 
 
@@ -88,20 +90,6 @@ def orthonormal(x: Grid, k: int) -> Grid:
     return _combine(x, np.where(some, vectors / np.sqrt(np.where(some, values, 1)), 0.0))
 
 
-def _subspace(op: Op, spark: SparkSession, k: int, rounds: int = 1000, seed: int = 1) -> np.ndarray:
-    """Ascending Ritz values, the k largest with residuals |A u - t u| of at most SETTLED of the largest; an error after
-    `rounds` without."""
-    x = orthonormal(_panel(spark, op.dim, k + 2, seed), k + 2).written()
-    for _ in range(rounds):
-        y = op.apply(x).written()
-        values, u = np.linalg.eigh(_products(x, y, k + 2))
-        squared = np.diag(u.T @ _products(y, y, k + 2) @ u) - values**2
-        if np.sqrt(np.maximum(squared[-k:], 0)).max() <= SETTLED * abs(values[-1]):
-            return values
-        x = orthonormal(y, k + 2).written()
-    raise RuntimeError(f"the singular values did not settle in {rounds} rounds")
-
-
 def hutchpp(op: Op, spark: SparkSession, m: int = 126, seed: int = 0) -> float:
     """Stochastic trace: exact on a sketch of the range, Hutchinson's estimate on the rest. m applications."""
     k = max(1, m // 3)
@@ -116,9 +104,12 @@ def hutchpp(op: Op, spark: SparkSession, m: int = 126, seed: int = 0) -> float:
 
 
 def estimate_lipschitz(op: Op, spark: SparkSession, method: str = "svd", **kwargs) -> float:
-    """The spectral norm, or the Frobenius norm estimated by hutchpp (an upper bound)."""
+    """A bound for step sizes: the spectral norm (its upper bound where the operator is large), or the Frobenius norm estimated
+    by hutchpp."""
     if method == "svd":
-        return float(svdvals(op, spark, 1)[-1])
+        if min(op.dim_size, op.codim_size) <= DENSE or hasattr(op, "own_svdvals"):
+            return float(svdvals(op, spark, 1)[-1])
+        return largest(op, spark, 1, **kwargs).upper
     small = op.gram() if op.dim_size <= op.codim_size else op.cogram()
     return math.sqrt(max(0.0, hutchpp(small, spark, **kwargs)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fluxgrid.plans.grid import Grid, axes_of
@@ -77,6 +78,25 @@ class BlockDiag(Op):
     def pinv(self, y, damp=0.0, **fit):
         return self._each(y, self.dim, lambda o, g: o.pinv(g, damp, **fit))
 
+    def gram(self):
+        return BlockDiag([o.gram() for o in self.ops])
+
+    def cogram(self):
+        return BlockDiag([o.cogram() for o in self.ops])
+
+    def trace(self, spark, **kwargs):
+        return math.fsum(o.trace(spark, **kwargs) for o in self.ops)
+
+    def own_svdvals(self, spark, k: int = 1):
+        """The k largest of the k largest of each block."""
+        each = [o.svdvals(spark, min(k, o.dim_size, o.codim_size)) for o in self.ops]
+        return np.sort(np.concatenate(each))[-k:]
+
+    def asarray(self, spark):
+        n, m = self.ops[0].codim_size, self.ops[0].dim_size
+        parts = [o.asarray(spark).select((F.col("row") + k * n).alias("row"), (F.col("col") + k * m).alias("col"), "w") for k, o in enumerate(self.ops)]
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
     def jacobian(self, x):
         return self if self.has(P.LINEAR) else BlockDiag([o.jacobian(_slice(x, k)) for k, o in enumerate(self.ops)])
 

@@ -1,8 +1,10 @@
 """Fourier and chirp-Z transforms, and correlation through them.
 
-A complex value is a last axis of two places (real, imaginary part). Items whose transformed axes fit in a task are
-gathered by item and the other axes and transformed by NumPy on Arrow batches; `dft_by_join` is the transform of short
-axes by a join with the table of twiddle factors, without Python.
+A complex value is a last axis of two places (real, imaginary part). Transforms go axis by axis over lines, many of them at
+once in a task. An axis of over LINE places is split in two factors: lines of the one, turned by their twiddle factors,
+an exchange, lines of the other (four-step), so that a task holds lines of about the square root of the axis. Lengths
+that don't split well, and chirp-Z transforms of long axes, are convolutions with a chirp (Bluestein) on a power of
+two, which does. `dft_by_join` is the transform of short axes by a join with the table of twiddle factors, without Python.
 """
 
 from __future__ import annotations
@@ -11,12 +13,20 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxgrid.operators.stencil import Convolve, Stencil
+from fluxgrid.operators.tiles import weigh_by_transform
 from fluxgrid.plans.grid import Grid, as_axes, as_shape, axes_of
+from fluxgrid.plans.groups import by_groups, scattered
 from fluxgrid.plans.op import LINEAR, NORMAL, Op
 
+#: Places of an axis that is not split.
+LINE = 512
+#: Of the two factors of an axis, the larger is at most so many times the smaller.
+UNEVEN = 64
+
 
 def per_block(x: Grid, inner: list[int], out_sizes: dict[int, int], fn) -> Grid:
     """fn (array over the axes `inner`, in order -> array) on each block of the axes in `inner`, the others apart."""
@@ -38,12 +48,72 @@ def per_block(x: Grid, inner: list[int], out_sizes: dict[int, int], fn) -> Grid:
     return Grid(x.df.groupBy(*outer).applyInPandas(run, schema), tuple(out_sizes.get(k, n) for k, n in enumerate(x.shape)))
 
 
-def _complex(block: np.ndarray) -> np.ndarray:
-    return block[..., 0] + 1j * block[..., 1]
+def waves(x: Grid) -> DataFrame:
+    """Rows (keys but the last, re, im) that add up to the complex values of x."""
+    c = F.col(f"i{x.rank - 1}")
+    return x.df.select(*x.keys[:-1], *(F.when(c == k, F.col("v")).otherwise(0.0).alias(n) for k, n in enumerate(("re", "im"))))
+
+
+def from_waves(df: DataFrame, shape) -> Grid:
+    keys = ["s", *axes_of(len(shape) - 1)]
+    rows = df.select(*keys, F.posexplode(F.array("re", "im")).alias("c", "v"))
+    return Grid(rows.select(*keys, F.col("c").cast("long").alias(f"i{len(shape) - 1}"), "v"), tuple(shape))
+
+
+def turned(df: DataFrame, angle: Column) -> DataFrame:
+    """Values times exp(i angle)."""
+    others, re, im, cos, sin = [c for c in df.columns if c not in ("re", "im")], F.col("re"), F.col("im"), F.cos(angle), F.sin(angle)
+    return df.select(*others, (re * cos - im * sin).alias("re"), (re * sin + im * cos).alias("im"))
+
+
+def by_lines(df: DataFrame, others: list[str], n: int, m: int, fn) -> DataFrame:
+    """(others, line, pos, re, im): fn (values by line and place, numbers of the lines) -> m values for each line."""
+    keys = [*others, "line"]
 
+    def run(columns, starts):
+        z = scattered(columns, starts, n, "pos", "re") + 1j * scattered(columns, starts, n, "pos", "im")
+        done = fn(z, columns["line"][starts])
+        out = {k: np.repeat(columns[k][starts], m) for k in keys}
+        return out | {"pos": np.tile(np.arange(m), len(starts)), "re": done.real.ravel(), "im": done.imag.ravel()}
 
-def _real(z: np.ndarray) -> np.ndarray:
-    return np.stack([z.real, z.imag], -1)
+    schema = ", ".join([*(f"{k} long" for k in keys), "pos long, re double, im double"])
+    return by_groups(df.select(*keys, "pos", "re", "im"), keys, 4 * max(n, m), run, schema)
+
+
+def factors(n: int) -> tuple[int, int] | None:
+    """n as a product of two numbers as equal as can be; None if they are too uneven."""
+    a = next(d for d in range(math.isqrt(n), 0, -1) if n % d == 0)
+    return (a, n // a) if n // a <= UNEVEN * a else None
+
+
+def dft(df: DataFrame, others: list[str], axis: str, n: int, sign: int) -> DataFrame:
+    """sum over j of x[j] exp(sign 2 pi i j k / n) along an axis."""
+    place = F.col(axis)
+    plain = np.fft.fft if sign < 0 else lambda z: np.fft.ifft(z) * z.shape[-1]
+    if n <= LINE:
+        rows = df.select(*others, F.lit(0).cast("long").alias("line"), place.alias("pos"), "re", "im")
+        return by_lines(rows, others, n, n, lambda z, _: plain(z)).select(*others, F.col("pos").alias(axis), "re", "im")
+    if not (pair := factors(n)):
+        # Squares modulo 2 n keep the angle exact.
+        return chirp(df, others, axis, n, n, lambda t: F.lit(sign * math.pi / n) * F.pmod(t * t, F.lit(2 * n)))
+    a, b = pair
+    rows = df.select(*others, (place % b).alias("line"), F.floor(place / b).alias("pos"), "re", "im")
+    first = by_lines(rows, others, a, a, lambda z, line: plain(z) * np.exp(sign * 2j * np.pi / n * (line[:, None] * np.arange(a) % n)))
+    rows = first.select(*others, F.col("pos").alias("line"), F.col("line").alias("pos"), "re", "im")
+    second = by_lines(rows, others, b, b, lambda z, _: plain(z))
+    return second.select(*others, (F.col("line") + a * F.col("pos")).alias(axis), "re", "im")
+
+
+def chirp(df: DataFrame, others: list[str], axis: str, n: int, m: int, phase) -> DataFrame:
+    """sum over j < n of x[j] exp(i (phase(j) + phase(k) - phase(k - j))), k < m, for an even function of whole numbers."""
+    size, k = 1 << (n + m - 2).bit_length(), F.col("id")
+    spectrum = dft(turned(df, phase(F.col(axis))), others, axis, size, -1)
+    t = F.when(k < m, k).otherwise(k - size)
+    kernel = df.sparkSession.range(size).where((k < m) | (k > size - n)).select(F.lit(0).cast("long").alias("s"), k.alias(axis), F.cos(phase(t)).alias("re"), (-F.sin(phase(t))).alias("im"))
+    kernel = dft(kernel, ["s"], axis, size, -1).select(axis, F.col("re").alias("a"), F.col("im").alias("b"))
+    re, im, a, b = (F.col(c) for c in ("re", "im", "a", "b"))
+    both = spectrum.join(kernel, axis).select(*others, axis, ((re * a - im * b) / size).alias("re"), ((re * b + im * a) / size).alias("im"))
+    return turned(dft(both, others, axis, size, 1).where(F.col(axis) < m), phase(F.col(axis)))
 
 
 class FFT(Op):
@@ -56,16 +126,17 @@ class FFT(Op):
         self.n = math.prod(dim[a] for a in self.axes)
         self.lipschitz = math.sqrt(self.n)
 
-    def _inner(self) -> list[int]:
-        return sorted(self.axes) + [len(self.dim) - 1]
+    def _along(self, x: Grid, sign: int) -> Grid:
+        df, keys = waves(x), x.keys[:-1]
+        for a in self.axes:
+            df = dft(df, [k for k in keys if k != f"i{a}"], f"i{a}", self.dim[a], sign)
+        return from_waves(df, self.dim)
 
     def apply(self, x):
-        over = tuple(range(len(self.axes)))
-        return per_block(x, self._inner(), {}, lambda b: _real(np.fft.fftn(_complex(b), axes=over)))
+        return self._along(x, -1)
 
     def adjoint(self, y):
-        over, n = tuple(range(len(self.axes))), self.n
-        return per_block(y, self._inner(), {}, lambda b: _real(np.fft.ifftn(_complex(b), axes=over) * n))
+        return self._along(y, 1)
 
     def gram(self):
         from fluxgrid.operators.linop import Homothety
@@ -120,22 +191,22 @@ class CZT(Op):
         self.lipschitz = math.sqrt(math.prod(dim[ax] * k for ax, k in zip(self.axes, self.m, strict=True)))
 
     def _run(self, x: Grid, sizes, back: bool) -> Grid:
-        inner = sorted(self.axes) + [len(self.dim) - 1]
-        parts = [(inner.index(ax), s, complex(a), complex(w)) for ax, s, a, w in zip(self.axes, sizes, self.a, self.w, strict=True)]
-
-        def fn(block):
-            z = _complex(block)
-            for at, size, a, w in parts:
-                z = np.moveaxis(z, at, -1)
-                if back:
-                    # conj(A) has entries a^n w^(-nk): the same transform of the conjugates, turned by a.
-                    z = chirp_z(z, size, 1.0, np.conj(w)) * a ** np.arange(size)
-                else:
-                    z = chirp_z(z, size, a, w)
-                z = np.moveaxis(z, -1, at)
-            return _real(z)
-
-        return per_block(x, inner, {ax: int(s) for ax, s in zip(self.axes, sizes, strict=True)}, fn)
+        df, keys, shape = waves(x), x.keys[:-1], list(x.shape)
+        for ax, m, a, w in zip(self.axes, sizes, self.a, self.w, strict=True):
+            n, m, axis = shape[ax], int(m), f"i{ax}"
+            others = [k for k in keys if k != axis]
+            # conj(A) has entries a^n w^(-nk): the same transform of the conjugates, turned by a.
+            a, w = complex(a), np.conj(complex(w)) if back else complex(w)
+            if max(n, m) <= LINE:
+                rows = df.select(*others, F.lit(0).cast("long").alias("line"), F.col(axis).alias("pos"), "re", "im")
+                fn = (lambda z, _, m=m, a=a, w=w: chirp_z(z, m, 1.0, w) * a ** np.arange(m)) if back else (lambda z, _, m=m, a=a, w=w: chirp_z(z, m, a, w))
+                df = by_lines(rows, others, n, m, fn).select(*others, F.col("pos").alias(axis), "re", "im")
+            else:
+                turn, half = F.lit(float(np.angle(a))) * F.col(axis), float(np.angle(w)) / 2
+                df = chirp(df if back else turned(df, -turn), others, axis, n, m, lambda t, half=half: F.lit(half) * (t * t))
+                df = turned(df, turn) if back else df
+            shape[ax] = m
+        return from_waves(df, shape)
 
     def apply(self, x):
         return self._run(x, self.m, False)
@@ -145,30 +216,9 @@ class CZT(Op):
 
 
 class FFTCorrelate(Stencil):
-    """Stencil by transforms: for wide kernels on cores that fit in a task."""
+    """Stencil by transforms of tiles (overlap-save): for wide kernels."""
 
-    def apply(self, x):
-        padded = self._to_core(self.pad.apply(x), -1) if self.pad else x
-        low, _ = self._bounds(set())
-        sizes = [n + a + b for n, (a, b) in zip(self.dim, self.widths, strict=True)]
-        moved = Grid(padded.df.select("s", *((F.col(f"i{k}") - a).alias(f"i{k}") for k, a in enumerate(low)), "v"), tuple(sizes))
-        passes = [(k.ravel(), axis) for axis, k in enumerate(self.kernels)] if self.separable else [(self.kernels[0], None)]
-        center, sign, dim, widths = self.center, self.sign, self.dim, self.widths
-
-        def fn(block):
-            for kernel, axis in passes:
-                axes = list(range(block.ndim)) if axis is None else [axis]
-                flip = np.flip(kernel) if sign > 0 else kernel
-                c = [(n - 1 - center[a]) if sign > 0 else center[a] for n, a in zip(np.atleast_1d(kernel).shape, axes, strict=True)]
-                full = [block.shape[a] + n - 1 for a, n in zip(axes, kernel.shape, strict=True)]
-                shape = [1] * block.ndim
-                for a, n in zip(axes, kernel.shape, strict=True):
-                    shape[a] = n
-                z = np.fft.irfftn(np.fft.rfftn(block, full, axes) * np.fft.rfftn(flip.reshape(shape), full, axes), full, axes)
-                block = z[tuple(slice(c[axes.index(k)], c[axes.index(k)] + block.shape[k]) if k in axes else slice(None) for k in range(block.ndim))]
-            return block[tuple(slice(a, a + n) for n, (a, _) in zip(dim, widths, strict=True))]
-
-        return per_block(moved, list(range(len(dim))), dict(enumerate(dim)), fn)
+    weigh = staticmethod(weigh_by_transform)
 
 
 class FFTConvolve(FFTCorrelate, Convolve):

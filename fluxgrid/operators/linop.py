@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxgrid.plans.grid import Grid, as_shape, constant, ravel, unravel
 from fluxgrid.plans.op import LIN_FUNC, LINEAR, ORTH_PROJECTION, POS_DEF, SELF_ADJOINT, SQUARE, UNITARY, Op
+from fluxgrid.plans.op import Property as P
 
 
 class Identity(Op):
@@ -99,6 +101,12 @@ class Diagonal(Op):
         top = self.w.df.select(F.abs("v").alias("sv")).orderBy(F.desc("sv")).limit(k)
         return top.orderBy("sv")
 
+    def own_svdvals(self, spark, k: int = 1):
+        return np.array([r["sv"] for r in self.largest(k).collect()])
+
+    def trace(self, spark, **kwargs):
+        return float(self.w.df.agg(F.coalesce(F.sum("v"), F.lit(0.0))).first()[0])
+
 
 class Explicit(Op):
     """A matrix given by a table (row, col, w); rows and columns are C-order places of codim and dim."""
@@ -146,26 +154,96 @@ class LinFunc(Op):
         return Grid(both.select(*self.a.keys, (F.col("t") * F.col("w")).alias("v")), self.dim)
 
 
-def kron(a: DataFrame, b: DataFrame, shape_a: tuple[int, int], shape_b: tuple[int, int]) -> Explicit:
-    """The Kronecker product of two matrices (row, col, w)."""
-    (m, n), (p, q) = shape_a, shape_b
-    left, right = (t.select(F.col("row").alias(f"r{k}"), F.col("col").alias(f"c{k}"), F.col("w").alias(f"w{k}")) for k, t in ((0, a), (1, b)))
-    both = left.crossJoin(right)
-    return Explicit(both.select((F.col("r0") * p + F.col("r1")).alias("row"), (F.col("c0") * q + F.col("c1")).alias("col"), (F.col("w0") * F.col("w1")).alias("w")), n * q, m * p)
+_OF_BOTH = {P.LINEAR_SELF_ADJOINT, P.LINEAR_NORMAL, P.LINEAR_UNITARY, P.LINEAR_IDEMPOTENT, P.LINEAR_POSITIVE_DEFINITE, P.LINEAR_SQUARE, P.LINEAR}
+
+
+class Kron(Op):
+    """The Kronecker product of two linear operators, never formed: A X B^T for the matrix X of an item."""
+
+    def __init__(self, a: Op, b: Op):
+        super().__init__(a.dim_size * b.dim_size, a.codim_size * b.codim_size, LINEAR | (a.props & b.props & _OF_BOTH))
+        self.a, self.b, self.lipschitz = a, b, a.lipschitz * b.lipschitz
+
+    @staticmethod
+    def _factor(df: DataFrame, run, shape, size: int, place: str, other: str) -> DataFrame:
+        """One factor along `place`; items are told apart by s and by the place in the other factor, of `size`."""
+        x = Grid(df.select((F.col("s") * size + F.col(other)).alias("s"), *unravel(F.col(place), shape), "v"), shape)
+        y = run(x)
+        back = F.floor(F.col("s") / size).alias("s"), F.pmod("s", F.lit(size)).alias(other)
+        return y.df.select(*back, ravel(y.shape).alias(place), "v")
+
+    def _apply(self, x: Grid, first, second, shape_a, shape_b, size: int) -> Grid:
+        n_b, n_a = math.prod(shape_b), math.prod(shape_a)
+        rows = x.df.select("s", F.floor(F.col("i0") / n_b).alias("a"), F.pmod("i0", F.lit(n_b)).alias("b"), "v")
+        rows = self._factor(rows, second, shape_b, n_a, "b", "a")
+        rows = self._factor(rows, first, shape_a, size, "a", "b")
+        return rows.select("s", (F.col("a") * size + F.col("b")).alias("i0"), "v")
+
+    def apply(self, x):
+        return Grid(self._apply(x, self.a.apply, self.b.apply, self.a.dim, self.b.dim, self.b.codim_size), self.codim)
+
+    def adjoint(self, y):
+        return Grid(self._apply(y, self.a.adjoint, self.b.adjoint, self.a.codim, self.b.codim, self.b.dim_size), self.dim)
+
+    def gram(self):
+        return Kron(self.a.gram(), self.b.gram())
+
+    def cogram(self):
+        return Kron(self.a.cogram(), self.b.cogram())
+
+    def trace(self, spark, **kwargs):
+        return self.a.trace(spark, **kwargs) * self.b.trace(spark, **kwargs)
+
+    def own_svdvals(self, spark, k: int = 1):
+        """The k largest products of values of both factors."""
+        each = [o.svdvals(spark, min(k, o.dim_size, o.codim_size)) for o in (self.a, self.b)]
+        return np.sort(np.outer(*each).ravel())[-k:]
+
+    def children(self):
+        return self.a, self.b
+
+
+class KhatriRao(Op):
+    """The column-wise Kronecker product, never formed: column c is that of A times that of B."""
+
+    def __init__(self, a: Op, b: Op):
+        if a.dim != b.dim:
+            raise ValueError("the matrices need as many columns")
+        super().__init__(a.dim, a.codim_size * b.codim_size, LINEAR)
+        self.a, self.b, self.lipschitz = a, b, a.lipschitz * b.lipschitz
+
+    def _second(self, spark) -> DataFrame:
+        return self.b.asarray(spark).select(F.col("row").alias("b"), F.col("col").alias("c"), "w")
+
+    def apply(self, x):
+        n = self.b.codim_size
+        flat = x.df.select("s", ravel(x.shape).alias("c"), "v").join(self._second(x.spark), "c")
+        items = flat.select((F.col("s") * n + F.col("b")).alias("s"), *unravel(F.col("c"), self.dim), (F.col("v") * F.col("w")).alias("v"))
+        y = self.a.apply(Grid(items, self.dim))
+        place = ravel(y.shape) * n + F.pmod("s", F.lit(n))
+        return Grid(y.df.select(F.floor(F.col("s") / n).alias("s"), place.alias("i0"), "v"), self.codim)
+
+    def adjoint(self, y):
+        n = self.b.codim_size
+        rows = y.df.select((F.col("s") * n + F.pmod("i0", F.lit(n))).alias("s"), *unravel(F.floor(F.col("i0") / n), self.a.codim), "v")
+        x = self.a.adjoint(Grid(rows, self.a.codim))
+        flat = x.df.select(F.floor(F.col("s") / n).alias("s"), F.pmod("s", F.lit(n)).alias("b"), ravel(x.shape).alias("c"), "v").join(self._second(y.spark), ["b", "c"])
+        total = flat.groupBy("s", "c").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+        return Grid(total.select("s", *unravel(F.col("c"), self.dim), "v"), self.dim)
+
+    def children(self):
+        return self.a, self.b
+
+
+def _operator(m: Op | DataFrame, shape) -> Op:
+    return m if isinstance(m, Op) else Explicit(m, shape[1], shape[0])
 
 
-def kron_times(a: Explicit, b: Explicit, x: Grid) -> Grid:
-    """The Kronecker product of a and b, applied to one item factor by factor: a X b^T for the matrix X of x."""
-    flip = lambda g, shape: Grid(g.df.select(F.col("i0").alias("s"), F.col("s").alias("i0"), "v"), shape)
-    rows = Grid(x.df.select(F.floor(F.col("i0") / b.dim_size).alias("s"), (F.col("i0") % b.dim_size).alias("i0"), "v"), b.dim)
-    y = a.apply(flip(b.apply(rows), a.dim))
-    return Grid(y.df.select(F.lit(0).cast("long").alias("s"), (F.col("i0") * b.codim_size + F.col("s")).alias("i0"), "v"), (a.codim_size * b.codim_size,))
+def kron(a: Op | DataFrame, b: Op | DataFrame, shape_a=None, shape_b=None) -> Kron:
+    """Of two operators, or of two matrices (row, col, w) with their shapes."""
+    return Kron(_operator(a, shape_a), _operator(b, shape_b))
 
 
-def khatri_rao(a: DataFrame, b: DataFrame, shape_a: tuple[int, int], shape_b: tuple[int, int]) -> Explicit:
-    """The column-wise Kronecker product of two matrices with as many columns."""
-    (m, n), (p, q) = shape_a, shape_b
-    if n != q:
-        raise ValueError("the matrices need as many columns")
-    both = a.select("col", F.col("row").alias("r0"), F.col("w").alias("w0")).join(b.select("col", F.col("row").alias("r1"), F.col("w").alias("w1")), "col")
-    return Explicit(both.select((F.col("r0") * p + F.col("r1")).alias("row"), "col", (F.col("w0") * F.col("w1")).alias("w")), n, m * p)
+def khatri_rao(a: Op | DataFrame, b: Op | DataFrame, shape_a=None, shape_b=None) -> KhatriRao:
+    """Of two operators, or of two matrices (row, col, w) with their shapes."""
+    return KhatriRao(_operator(a, shape_a), _operator(b, shape_b))

@@ -1,21 +1,20 @@
 """Norms, losses, indicators of sets and quadratics, with their proximal operators.
 
-Values are aggregates by item; proximal operators are column expressions, with a window over the item where they need
-its norm, or its sorted values (projection on the l1 ball, prox of l-infinity and of the squared l1 norm).
+Values are aggregates by item; proximal operators are column expressions. Those that need an item's norm, or a threshold
+among its sorted values (projection on the l1 ball, prox of l-infinity and of the squared l1 norm), take both from a
+window over the item where the core has SMALL places at most. Larger items never meet in one task: norms are partial
+sums joined back, thresholds are found by selection in histograms.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxgrid.plans.grid import Grid, as_axes, as_shape
-from fluxgrid.plans.op import DIFF_FUNC, INF, PROX_DIFF_FUNC, PROX_FUNC, QUADRATIC, Op, items
-from fluxgrid.plans.op import Property as P
-
-ZERO = F.lit
+from fluxgrid.plans.grid import Grid, as_axes
+from fluxgrid.plans.op import DIFF_FUNC, INF, PROX_FUNC, QUADRATIC, SMALL, Op, beside
 
 
 def _soft(v: Column, t) -> Column:
@@ -24,13 +23,54 @@ def _soft(v: Column, t) -> Column:
 
 def _by_item(x: Grid, aggregate, value, name: str = "t") -> Grid:
     """v -> value(v, t), t an aggregate of the item."""
-    rows = items(x, aggregate, name)
+    rows = beside(x.df, ["s"], x.size, **{name: aggregate})
     return Grid(rows.select(*x.keys, value(F.col("v"), F.col(name)).cast("double").alias("v")), x.shape)
 
 
-def _sorted_threshold(x: Grid, rule) -> Grid:
-    """x with t, by item: rule gives, for the k-th largest absolute value and the sum of the first k, the threshold that
-    holds if the value is above it; t is the one of the largest such k, and n1 the sum of all."""
+def _bracket(x: DataFrame, bin_: Column, rule, known: DataFrame | None) -> DataFrame:
+    """(s, bin, k0, c0): in each item the bin of values in which the rule begins to fail, with the number and the sum of the
+    values above; bin is null where it fails nowhere. One aggregation; bins are few whatever the item's size."""
+    bins = x.groupBy("s", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("sum"), F.min("u").alias("low"))
+    down = Window.partitionBy("s").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    k, c = F.sum("n").over(down), F.sum("sum").over(down)
+    if known is not None:
+        bins = bins.join(known, "s")
+        k, c = k + F.col("k0"), c + F.col("c0")
+    held = bins.select("*", k.alias("k"), c.alias("c")).withColumn("holds", F.col("low") > rule(F.col("k").cast("double"), F.col("c")))
+    first = [F.lit(0.0) if known is None else F.first(name) for name in ("k0", "c0")]
+    above = [F.coalesce(F.max(F.when(F.col("holds"), F.struct("k", "c")))[name], start) for name, start in zip("kc", first, strict=True)]
+    return held.groupBy("s").agg(F.max(F.when(~F.col("holds"), F.col("bin"))).alias("bin"), above[0].cast("double").alias("k0"), above[1].alias("c0"))
+
+
+def _thresholds(x: Grid, rule) -> DataFrame:
+    """(s, t, n1): rule gives, for the number k and the sum c of the k largest absolute values, the threshold that holds if
+    the k-th is above it; t is that of the largest such k, and n1 the sum of all.
+
+    Selection by histograms: 256 bins for each power of two, then 4,096 bins inside the one where the rule begins to fail; only
+    the distinct values of one of those are put in order."""
+    plain = x.df.select("s", F.abs("v").alias("u")).where("u > 0")
+    scale = F.floor(F.log2("u") * 256)
+    one = _bracket(plain, scale, rule, None)
+    inside = plain.join(one.where("bin is not null").withColumnRenamed("bin", "at"), "s").where(scale == F.col("at"))
+    edge = F.pow(F.lit(2.0), F.col("at") / 256)
+    fine = F.floor((F.col("u") / edge - 1) * (4096 * 256))
+    two = _bracket(inside.select("s", "u", "at"), fine, rule, one.select("s", "k0", "c0"))
+    few = inside.select("s", "u", fine.alias("fine")).join(two.where("bin is not null"), "s").where(F.col("fine") == F.col("bin"))
+    values = few.groupBy("s", "u").agg(F.count(F.lit(1)).alias("n"), F.first("k0").alias("k0"), F.first("c0").alias("c0"))
+    down = Window.partitionBy("s").orderBy(F.desc("u")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.select("s", "u", (F.col("k0") + F.sum("n").over(down)).alias("k"), (F.col("c0") + F.sum(F.col("u") * F.col("n")).over(down)).alias("c"))
+    last = ranked.where(F.col("u") > rule(F.col("k"), F.col("c"))).groupBy("s").agg(F.max(F.struct("k", "c")).alias("last")).select("s", "last.k", "last.c")
+    ends = one.select("s", "k0", "c0").unionByName(two.select("s", "k0", "c0")).unionByName(last.select("s", F.col("k").alias("k0"), F.col("c").alias("c0")))
+    final = ends.groupBy("s").agg(F.max(F.struct("k0", "c0")).alias("e")).select("s", F.col("e.k0").alias("k"), F.col("e.c0").alias("c"))
+    total = x.df.groupBy("s").agg(F.sum(F.abs("v")).alias("n1"))
+    t = F.when(F.col("k") > 0, rule(F.col("k"), F.col("c"))).otherwise(F.lit(0.0))
+    return total.join(final, "s", "left").select("s", F.coalesce(t, F.lit(0.0)).alias("t"), "n1")
+
+
+def _sorted_threshold(x: Grid, rule) -> DataFrame:
+    """x with t and n1 of its item: from one sorted window where a core is small, else by selection."""
+    if x.size > SMALL:
+        return x.df.join(_thresholds(x, rule), "s")
     down = Window.partitionBy("s").orderBy(F.desc("__u"), *x.keys[1:])
     ranked = x.df.withColumn("__u", F.abs("v")).withColumn("__k", F.row_number().over(down)).withColumn("__c", F.sum("__u").over(down.rowsBetween(Window.unboundedPreceding, 0)))
     theta = rule(F.col("__k").cast("double"), F.col("__c"))
@@ -149,9 +189,9 @@ class L21Norm(Functional):
         return x.scalar(norms.groupBy("s").agg(F.sum("n").alias("t")), F.col("t"))
 
     def prox(self, x, tau):
-        w = Window.partitionBy("s", *self.outer)
-        rows = x.df.withColumn("n", F.sqrt(F.sum(F.col("v") * F.col("v")).over(w)))
-        return Grid(rows.select(*x.keys, (F.col("v") * (1 - tau / F.greatest("n", F.lit(float(tau))))).alias("v")), x.shape)
+        cells = math.prod(self.dim[k] for k in self.inner)
+        rows = beside(x.df, ["s", *self.outer], cells, n=F.sum(F.col("v") * F.col("v")))
+        return Grid(rows.select(*x.keys, (F.col("v") * (1 - tau / F.greatest(F.sqrt("n"), F.lit(float(tau))))).alias("v")), x.shape)
 
 
 class KLDivergence(Functional):
@@ -241,8 +281,7 @@ class HyperSlab(Indicator):
         return self._dots(x).groupBy("s").agg(((dot >= self.low) & (dot <= self.high)).alias("t"))
 
     def prox(self, x, tau=1.0):
-        item = Window.partitionBy("s")
-        rows = self._dots(x).withColumn("dot", F.sum(F.col("v") * F.col("w")).over(item)).withColumn("n", F.sum(F.col("w") * F.col("w")).over(item))
+        rows = beside(self._dots(x), ["s"], x.size, dot=F.sum(F.col("v") * F.col("w")), n=F.sum(F.col("w") * F.col("w")))
         move = F.when(F.col("dot") < self.low, self.low - F.col("dot")).when(F.col("dot") > self.high, self.high - F.col("dot")).otherwise(0.0)
         return Grid(rows.select(*x.keys, (F.col("v") + move * F.col("w") / F.col("n")).alias("v")), x.shape)
 
@@ -311,6 +350,3 @@ class MoreauEnvelope(Functional):
 
     def grad(self, x):
         return x.plus(self.f.prox(x, self.mu), 1 / self.mu, -1 / self.mu)
-
-
-_ = (PROX_DIFF_FUNC, as_shape, P, ZERO)

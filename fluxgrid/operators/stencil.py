@@ -1,7 +1,7 @@
 """Correlation and convolution with a small kernel.
 
-Each value goes to the places its kernel reaches, weighted, and one aggregation adds up; partial sums form before the
-shuffle. A separable kernel goes axis by axis. Taps of weight 0 are left out.
+The core is cut into tiles with halos in one exchange, also for a separable kernel, which goes axis by axis inside a tile.
+Taps of weight 0 are left out.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fluxgrid.operators.select import MODES, Pad
-from fluxgrid.plans.grid import Grid, as_shape, axes_of
+from fluxgrid.operators.tiles import Pass, reach, tiled, weigh
+from fluxgrid.plans.grid import Grid, as_shape
 from fluxgrid.plans.op import SQUARE, Op
 
 
@@ -21,6 +22,7 @@ class Stencil(Op):
     kernel: an array with as many axes as the core, or a list of one vector for each axis (separable)."""
 
     sign = 1
+    weigh = staticmethod(weigh)
 
     def __init__(self, dim, kernel, center, mode="constant"):
         dim = as_shape(dim)
@@ -54,41 +56,31 @@ class Stencil(Op):
             passes.append(taps)
         return passes
 
-    @staticmethod
-    def _spread(x: Grid, taps, sign: int, low: list[int], high: list[int]) -> Grid:
-        names = axes_of(x.rank)
-        if not taps:
-            return x.scale(0.0)
-        reach = F.array(*(F.struct(*(F.lit(sign * o).cast("long").alias(f"d{k}") for k, o in enumerate(d)), F.lit(w).alias("w")) for d, w in taps))
-        df = x.df.withColumn("__tap", F.explode(reach))
-        df = df.select("s", *((F.col(n) + F.col(f"__tap.d{k}")).alias(n) for k, n in enumerate(names)), (F.col("v") * F.col("__tap.w")).alias("v"))
-        inside = F.lit(True)
-        for n, a, b in zip(names, low, high, strict=True):
-            inside = inside & F.col(n).between(a, b - 1)
-        return Grid(df.where(inside), x.shape).summed()
-
-    def _bounds(self, done: set[int]) -> tuple[list[int], list[int]]:
-        """Places to keep: the core on axes that are done, all of the padding on the others."""
-        low = [0 if k in done else -a for k, (a, _) in enumerate(self.widths)]
-        return low, [n if k in done else n + b for k, (n, (_, b)) in enumerate(zip(self.dim, self.widths, strict=True))]
-
     def _to_core(self, x: Grid, sign: int) -> Grid:
         return Grid(x.df.select("s", *((F.col(f"i{k}") + sign * a).alias(f"i{k}") for k, (a, _) in enumerate(self.widths)), "v"), x.shape)
 
+    def _correlated(self, x: Grid, passes: list[Pass], first: list[int], size) -> Grid:
+        if not all(passes):
+            return Grid(x.df.where("false"), tuple(size))
+        weigh_ = self.weigh
+
+        def fn(windows: np.ndarray) -> np.ndarray:
+            for taps in passes:
+                windows = weigh_(windows, taps)
+            return windows
+
+        return tiled(x, first, size, *reach(passes, len(self.dim)), fn)
+
     def apply(self, x):
         x = self._to_core(self.pad.apply(x), -1) if self.pad else x
-        everything = set(range(len(self.dim)))
-        for axis, taps in enumerate(self._taps()):
-            done = set(range(axis + 1)) if self.separable else everything
-            x = self._spread(x, taps, -1, *self._bounds(done))
-        return Grid(x.df, self.dim)
+        return self._correlated(x, self._taps(), [0] * len(self.dim), self.dim)
 
     def adjoint(self, y):
-        passes = self._taps()
-        for axis in reversed(range(len(passes))):
-            done = set(range(axis)) if self.separable else set()
-            y = self._spread(y, passes[axis], 1, *self._bounds(done))
-        return self.pad.adjoint(self._to_core(Grid(y.df, self.pad.codim), 1)) if self.pad else Grid(y.df, self.dim)
+        back = [[(tuple(-o for o in d), w) for d, w in taps] for taps in reversed(self._taps())]
+        if not self.pad:
+            return self._correlated(y, back, [0] * len(self.dim), self.dim)
+        spread = self._correlated(y, back, [-a for a, _ in self.widths], self.pad.codim)
+        return self.pad.adjoint(self._to_core(spread, 1))
 
 
 Correlate = Stencil

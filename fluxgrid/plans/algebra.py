@@ -60,6 +60,15 @@ class Scale(Op):
     def gram(self):
         return self.op.gram() * (self.a * self.a)
 
+    def trace(self, spark, **kwargs):
+        return self.a * self.op.trace(spark, **kwargs)
+
+    def own_svdvals(self, spark, k: int = 1):
+        return abs(self.a) * self.op.svdvals(spark, k)
+
+    def asarray(self, spark):
+        return self.op.asarray(spark).select("row", "col", (F.col("w") * self.a).alias("w"))
+
     def quad_spec(self):
         q, c, t = self.op.quad_spec()
         return q * self.a, c * self.a, t * self.a

@@ -129,6 +129,11 @@ def _matrix(spark: SparkSession, d: str) -> linop.Explicit:
     return linop.Explicit(table, 7, n)
 
 
+def _values(spark: SparkSession, values) -> DataFrame:
+    """Singular values, numbered from the smallest."""
+    return spark.createDataFrame([(k, round(float(v), 4)) for k, v in enumerate(values)], "k long, sv double")
+
+
 def _seven(spark: SparkSession) -> Grid:
     return grid(spark.range(7).select(F.col("id").alias("i0"), (F.col("id") + 1).alias("v")), 7)
 
@@ -151,14 +156,36 @@ add("gram", lambda spark, d: out(_matrix(spark, d).gram().apply(_seven(spark))),
 add("cogram", lambda spark, d: out((lambda a: a.cogram().apply(grid(spark.range(a.codim[0]).select(F.col("id").alias("i0"), (F.col("id") % 5).alias("v")), a.codim)))(_matrix(spark, d))), _M + f"select a.r::bigint as i0, {t.rounded('sum(a.w * b.t)')} from mat a join (select c, sum(w * (r % 5)) t from mat group by c) b using (c) group by a.r")
 add("transpose_op", lambda spark, d: out((lambda a: a.T.apply(grid(spark.range(a.codim[0]).select(F.col("id").alias("i0"), (F.col("id") % 3).alias("v")), a.codim)))(_matrix(spark, d))), _M + f"select c::bigint as i0, {t.rounded('sum(w * (r % 3))')} from mat group by c")
 add("trace", lambda spark, d: spark.createDataFrame([(float(_matrix(spark, d).gram().trace(spark)),)], "tr double"), _M + "select sum(w * w) as tr from mat")
-add("asarray", lambda spark, d: linalg.asarray(stencil.Stencil(12, [0.25, 0.5, 0.25], 1), spark).where("w <> 0"), "select r::bigint as row, c::bigint as col, case when r = c then 0.5 else 0.25 end::double as w from (select unnest(generate_series(0, 11)) r) cross join (select unnest(generate_series(0, 11)) c) where abs(r - c) <= 1")
-add("kron", lambda spark, d: out(linop.kron_times(_matrix(spark, d), _matrix(spark, d), grid(spark.range(49).select(F.col("id").alias("i0"), (F.col("id") % 4).alias("v")), 49))), _M + f"select (a.r * n + b.r)::bigint as i0, {t.rounded('sum(a.w * b.w * ((a.c * 7 + b.c) % 4))')} from mat a cross join mat b cross join (select count(*) n from supplier) group by 1")
+add("asarray", lambda spark, d: linalg.asarray(_matrix(spark, d).gram() * 0.5, spark).where("w <> 0"), _M + "select a.c::bigint as row, b.c::bigint as col, sum(a.w * b.w) / 2 as w from mat a join mat b using (r) group by a.c, b.c")
+add("kron", lambda spark, d: out(linop.kron(_matrix(spark, d), _matrix(spark, d)).apply(grid(spark.range(49).select(F.col("id").alias("i0"), (F.col("id") % 4).alias("v")), 49))), _M + f"select (a.r * n + b.r)::bigint as i0, {t.rounded('sum(a.w * b.w * ((a.c * 7 + b.c) % 4))')} from mat a cross join mat b cross join (select count(*) n from supplier) group by 1")
+_PAIRED = lambda spark, n, k: grid(spark.range(n).select(F.col("id").alias("i0"), (F.col("id") % k).alias("v")), n)
+add("kron_adj", lambda spark, d: out((lambda o: o.adjoint(_PAIRED(spark, o.codim[0], 5)))(linop.kron(_matrix(spark, d), _matrix(spark, d)))), _M + f"select (a.c * 7 + b.c)::bigint as i0, {t.rounded('sum(a.w * b.w * ((a.r * n + b.r) % 5))')} from mat a cross join mat b cross join (select count(*) n from supplier) group by 1")
+add("kron_trace", lambda spark, d: spark.createDataFrame([(float((lambda g: linop.kron(g, g * 2.0))(_matrix(spark, d).gram()).trace(spark)),)], "tr double"), _M + "select 2 * sum(w * w) * sum(w * w) as tr from mat")
+add("kron_svdvals", lambda spark, d: _values(spark, (lambda w: linop.kron(w, w * 0.5).svdvals(spark, 6))(linop.Diagonal(signals.daily(spark, d)))), t.with_("daily") + "select (6 - row_number() over (order by p desc))::bigint as k, round(p, 4) as sv from (select a.v * b.v / 2 as p from daily a cross join daily b) order by p desc limit 6")
+add("khatri_rao_adj", lambda spark, d: out((lambda o: o.adjoint(_PAIRED(spark, o.codim[0], 5)))(linop.khatri_rao(_matrix(spark, d), _matrix(spark, d)))), _M + f"select a.c::bigint as i0, {t.rounded('sum(a.w * b.w * ((a.r * n + b.r) % 5))')} from mat a join mat b using (c) cross join (select count(*) n from supplier) group by 1")
+_BLOCKS = lambda spark, d: (lambda a: blocks.block_diag([a, a * 2.0]))(_matrix(spark, d))
+add("block_asarray", lambda spark, d: _BLOCKS(spark, d).asarray(spark), _M + "select (k * n + r)::bigint as row, (k * 7 + c)::bigint as col, w * (k + 1) as w from mat cross join (select unnest([0, 1]) k) cross join (select count(*) n from supplier)")
+add("block_gram", lambda spark, d: _BLOCKS(spark, d).gram().asarray(spark).where("w <> 0"), _M + "select (k * 7 + a.c)::bigint as row, (k * 7 + b.c)::bigint as col, sum(a.w * b.w) * (k + 1) * (k + 1) as w from mat a join mat b using (r) cross join (select unnest([0, 1]) k) group by k, a.c, b.c")
+add("block_trace", lambda spark, d: spark.createDataFrame([(float(_BLOCKS(spark, d).gram().trace(spark)),)], "tr double"), _M + "select 5 * sum(w * w) as tr from mat")
+add("block_svdvals", lambda spark, d: _values(spark, (lambda w: blocks.block_diag([w, w * 1.5]).svdvals(spark, 8))(linop.Diagonal(signals.daily(spark, d)))), t.with_("daily") + "select (8 - row_number() over (order by p desc))::bigint as k, round(p, 4) as sv from (select v * f as p from daily cross join (select unnest([1.0, 1.5]) f)) order by p desc limit 8")
+
+
+def _circulant(spark: SparkSession, d: str) -> Op:
+    """Correlation of 2,499 places with the sums of the embeddings' 64 components."""
+    rows = signals.read(spark, d, "embeddings").select(F.posexplode("embedding").alias("k", "v")).groupBy("k").agg(F.sum(F.col("v").cast("double")).alias("w")).orderBy("k").limit(64).collect()
+    return stencil.Stencil(2499, [r["w"] for r in rows], 0, "wrap")
+
+
+_SPECTRUM = """with w as (select k, sum(v::double) as w from (select unnest(generate_series(0, 63)) as k, unnest(embedding) as v from embeddings) group by k),
+    s as (select n, sqrt(pow(sum(w * cos(2 * pi() * ((k * n) % 2499) / 2499)), 2) + pow(sum(w * sin(2 * pi() * ((k * n) % 2499) / 2499)), 2)) as sv from w cross join (select unnest(generate_series(0, 2498)) n) group by n)
+    """
+add("svdvals_circulant", lambda spark, d: _values(spark, _circulant(spark, d).svdvals(spark, 3)), _SPECTRUM + "select (3 - row_number() over (order by sv desc))::bigint as k, round(sv, 4) as sv from s order by sv desc limit 3")
 add("khatri_rao", lambda spark, d: out((lambda m, n: linop.khatri_rao(m, m, (n, 7), (n, 7)))(*signals.mat(spark, d)).apply(_seven(spark))), _M + f"select (a.r * n + b.r)::bigint as i0, {t.rounded('sum(a.w * b.w * u.v)')} from mat a join mat b using (c) join unit u using (c) cross join (select count(*) n from supplier) group by 1")
 on("linfunc_dot", "vec", lambda x: linop.LinFunc(_ramp(x), shared=True).apply(x), t.with_("vec") + f"select s::bigint as s, 0::bigint as i0, {t.rounded('sum(v * (i0 - 20))')} from vec group by s")
 add("svdvals", lambda spark, d: spark.createDataFrame([(k, float(v)) for k, v in enumerate(_matrix(spark, d).svdvals(spark, 3))], "k long, sv double"))
 # The cogram has a place for each supplier and a rank of 7, within which a sketch of 8 is exact; the sums are whole numbers.
 add("hutchpp", lambda spark, d: spark.createDataFrame([(round(float(_matrix(spark, d).cogram().trace(spark, method="hutchpp", m=24)), 0),)], "tr double"), _M + "select round(sum(w * w), 0) as tr from mat")
-add("lipschitz", lambda spark, d: spark.createDataFrame([(round(stencil.Stencil(16, [0.25, 0.5, 0.25], 1, "wrap").estimate_lipschitz(spark), 6),)], "l double"), "select 1.0::double as l")
+add("lipschitz", lambda spark, d: spark.createDataFrame([(round((linop.Diagonal(signals.daily(spark, d)) * 0.5).estimate_lipschitz(spark), 6),)], "l double"), t.with_("daily") + "select round(max(abs(v)) / 2, 6) as l from daily")
 
 # -- stencils, filters, derivatives -------------------------------------------------------------------------------------
 _SMOOTH = {-1: 0.25, 0: 0.5, 1: 0.25}
@@ -300,6 +327,20 @@ _KL = "case when i0 % 4 > 0 then (i0 % 4) * ln((i0 % 4) / (abs(v) + 0.1)) - (i0
 on("kl", "vec", lambda x: norm.KLDivergence(_data(x)).apply(x.map(lambda v: F.abs(v) + 0.1)), _V + f"select s::bigint as s, 0::bigint as i0, {t.rounded(f'sum({_KL})')} from vec group by s")
 on("prox_kl", "vec", lambda x: norm.KLDivergence(_data(x)).prox(x, 0.3), _windowed("(v - 0.3 + sqrt((v - 0.3) * (v - 0.3) + 1.2 * (i0 % 4))) / 2", "0 z"))
 on("fprox_l1", "vec", lambda x: norm.L1Norm(64).fenchel_prox(x, 2.0), _windowed("greatest(-1.0, least(1.0, v))", "0 z"))
+# The same on one large item, by selection and partial sums.
+_DRANK = "abs(v) u, row_number() over (order by abs(v) desc, i0) k, sum(abs(v)) over (order by abs(v) desc, i0 rows unbounded preceding) c"
+
+
+def _selected(theta: str, e: str) -> str:
+    found = f"(select *, (select {theta} from (select {_DRANK} from daily) where u > {theta} order by k desc limit 1) t from daily)"
+    return t.with_("daily") + f"select i0::bigint as i0, {t.rounded(e)} from {found}"
+
+
+on("prox_l1ball_large", "daily", lambda x: norm.L1Ball(2499, 1e5).prox(x, 1.0), _selected("((c - 100000) / k)", _SOFT))
+on("prox_sql1_large", "daily", lambda x: norm.SquaredL1Norm(2499).prox(x, 0.001), _selected("(0.002 * c / (1 + 0.002 * k))", _SOFT))
+on("prox_linf_large", "daily", lambda x: norm.LInfinityNorm(2499).prox(x, 2000.0), _selected("((c - 2000) / k)", f"v - {_SOFT}"))
+on("prox_l2_large", "daily", lambda x: norm.L2Norm(2499).prox(x, 50.0), t.each("daily", "v * (1 - 50 / (select sqrt(sum(v * v)) from daily))"))
+on("prox_l2ball_large", "daily", lambda x: norm.L2Ball(2499, 10.0).prox(x), t.each("daily", "v * 10 / (select sqrt(sum(v * v)) from daily)"))
 on("fprox_l2", "vec", lambda x: norm.L2Norm(64).fenchel_prox(x, 2.0), _windowed("v / greatest(n, 1.0)", "sqrt(sum(v * v) over (partition by s)) n"))
 on("fprox_sql2", "vec", lambda x: norm.SquaredL2Norm(64).fenchel_prox(x, 2.0), _windowed("v - 2 * (v / 2) / (1 + 2 * 0.5)", "0 z"))
 _HUBER = "sum(case when abs(v) <= 0.1 then v * v / 0.2 else abs(v) - 0.05 end)"
@@ -351,6 +392,17 @@ on("dft_small", "vec", lambda x: fft.dft_by_join(x), _DFT)
 on("fft", "vec", lambda x: fft.FFT((64,)).apply(_pairs(x)), _DFT)
 on("fft_roundtrip", "tile", lambda x: (lambda f: f.pinv(f.apply(_pairs(x))))(fft.FFT((8, 8))), _TI + f"select s::bigint as s, i0::bigint as i0, i1::bigint as i1, c::bigint as i2, {t.rounded('case c when 0 then v else 0.0 end')} from tile cross join (select unnest([0, 1]) c)")
 on("czt", "vec", lambda x: fft.CZT((64,), 0, 64, 1.0, complex(math.cos(2 * math.pi / 64), -math.sin(2 * math.pi / 64))).apply(_pairs(x)), _DFT)
+# Values of up to 10^7 are rounded to cents, so that the order of a sum doesn't show.
+_CENTS = lambda g: g.df.select(*(F.col(k) for k in g.keys[1:]), (F.round("v", 2) + F.lit(0.0)).alias("v"))
+_PART = "select k::bigint as i0, {c}::bigint as i1, round({f}, 2) + 0.0 as v from (select k, sum(v * cos({a})) as re, -sum(v * sin({a})) as im from daily cross join (select unnest(generate_series(0, {m} - 1)) k) group by k)"
+_WAVES = lambda m, a: t.with_("daily") + " union all ".join(_PART.format(c=c, f=f, a=a, m=m) for c, f in ((0, "re"), (1, "im")))
+add("fft_long", lambda spark, d: _CENTS(fft.FFT((4096,)).apply(_pairs(Grid(signals.daily(spark, d).df, (4096,))))), _WAVES(4096, "2 * pi() * ((i0 * k) % 4096) / 4096"))
+add("fft_uneven", lambda spark, d: _CENTS(fft.FFT((2503,)).apply(_pairs(Grid(signals.daily(spark, d).df, (2503,))))), _WAVES(2503, "2 * pi() * ((i0 * k) % 2503) / 2503"))
+# 200 points between the periods of 40 and 20 days.
+add("czt_zoom", lambda spark, d: _CENTS(fft.CZT((2499,), 0, 200, complex(math.cos(math.pi / 20), math.sin(math.pi / 20)), complex(math.cos(math.pi / 4000), -math.sin(math.pi / 4000))).apply(_pairs(signals.daily(spark, d)))), _WAVES(200, "i0 * (pi() / 20 + k * pi() / 4000)"))
+_WIDE = {k: 1 / (1 + abs(k)) + (0.25 if k > 0 else 0.0) for k in range(-150, 151)}
+on("fft_correlate_long", "daily", lambda x: fft.FFTCorrelate(2499, [_WIDE[k] for k in range(-150, 151)], 150, "reflect").apply(x), t.filled("daily", t.correlate("daily", t.outer(_WIDE), "reflect")))
+on("fft_convolve_long", "daily", lambda x: fft.FFTConvolve(2499, [_WIDE[k] for k in range(-150, 151)], 150).apply(x), t.filled("daily", t.correlate("daily", t.outer({-k: w for k, w in _WIDE.items()}))))
 on("complex_views", "vec", lambda x: view_as_real(view_as_complex(_pairs(x)), (64,)), _V + f"select s::bigint as s, i0::bigint as i0, c::bigint as i1, {t.rounded('case c when 0 then v else 0.0 end')} from vec cross join (select unnest([0, 1]) c)")
 add("as_real_op", lambda spark, d: as_real_matrix(signals.mat(spark, d)[0].select("row", "col", F.col("w").alias("re"), (F.col("row") + F.col("col")).cast("double").alias("im"))).select("row", "col", "w"), t.with_("mat") + "select (2 * r + i)::bigint as row, (2 * c + j)::bigint as col, (case when i = j then w when i = 0 then -(r + c) else r + c end)::double as w from mat cross join (select unnest([0, 0, 1, 1]) i, unnest([0, 1, 0, 1]) j)")
 
@@ -411,7 +463,7 @@ on("cg_1step", "vec", lambda x: cg.CG(_blur()).fit(b=x, max_iter=1).solution(),
 on("cg", "vec", lambda x: cg.CG(_blur() + linop.Homothety(64, 0.5)).fit(b=x, stop=AbsError(1e-3, "residual") | MaxIter(6)).solution())
 on("pinv_broadcast", "daily", lambda x: axes.BroadcastAxes((1,), (2499,)).pinv(x, damp=1.0), t.with_("daily") + f"select 0::bigint as i0, {t.rounded('sum(v) / 2500')} from daily")
 add("pinv", lambda spark, d: out((lambda a: a.pinv(grid(spark.range(a.codim[0]).select(F.col("id").alias("i0"), (F.col("id") % 5).alias("v")), a.codim), damp=100.0))(_matrix(spark, d))))
-add("dagger", lambda spark, d: out(select.SubSample(12, slice(0, None, 2)).dagger(1.0).apply(grid(spark.range(6).select(F.col("id").alias("i0"), (F.col("id") + 1).alias("v")), 6)).dense()), "select i0::bigint as i0, case when i0 % 2 = 0 then (i0 // 2 + 1) / 2.0 else 0.0 end::double as v from (select unnest(generate_series(0, 11)) i0)")
+on("dagger", "daily", lambda x: (lambda o: o.dagger(1.0).apply(o.apply(x)).dense())(select.SubSample(2499, slice(0, None, 2))), t.each("daily", "case when i0 % 2 = 0 then v / 2 else 0.0 end"))
 add("linesearch", lambda spark, d: (lambda x: linalg.backtracking_linesearch(norm.SquaredL2Norm(64), x, x.scale(-2.0), a0=2.0))(signals.vec(spark, d)), "select vec_id::bigint as s, 0.5::double as a from embeddings")
 add("solver_history", lambda spark, d: gradient.PGD(_fit(signals.vec(spark, d)), _L1()).fit(x0=_zero(signals.vec(spark, d)), tau=1.0, acceleration=False, stop=RelError(1e-9, "x") | MaxIter(4)).stats(spark)[0].select("iteration"), "select unnest([0, 1, 2])::bigint as iteration")
 
