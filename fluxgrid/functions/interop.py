@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from importlib import metadata
+from importlib import import_module, metadata
 
 import numpy as np
 
@@ -50,6 +50,29 @@ def to_matvec(op: Op, spark):
     return (lambda x: m @ np.asarray(x)), (lambda y: m.T @ np.asarray(y))
 
 
+#: Entry-point groups of plug-ins, and the module whose names each group extends.
+GROUPS = {"fluxgrid.operator": "fluxgrid.operators", "fluxgrid.solver": "fluxgrid.solvers", "fluxgrid.stop": "fluxgrid.solvers.stop"}
+
+
 def plugins(group: str = "fluxgrid.operator", names=None) -> dict:
     """Third-party operators, solvers or criteria by entry point."""
     return {e.name: e.load() for e in metadata.entry_points(group=group) if names is None or e.name in names}
+
+
+def register_plugins(groups: dict[str, str] | None = None) -> dict[str, list[str]]:
+    """Puts the objects of all entry points into the modules of their groups, and returns their names by module. An entry
+    point may replace a name that is there only if its own begins with an underscore, which is then dropped; a name that
+    two entry points claim is an error, and so is one that can't be loaded."""
+    done: dict[str, list[str]] = {}
+    for group, module_name in (GROUPS if groups is None else groups).items():
+        module, claimed = import_module(module_name), set()
+        for entry in sorted(metadata.entry_points(group=group), key=lambda e: e.name):
+            override, name = entry.name.startswith("_"), entry.name.removeprefix("_")
+            if name in claimed:
+                raise ValueError(f"{name} is claimed by two entry points of {group}")
+            if hasattr(module, name) and not override:
+                raise ValueError(f"{module_name}.{name} exists; an entry point named _{name} replaces it")
+            claimed.add(name)
+            setattr(module, name, entry.load())
+            done.setdefault(module_name, []).append(name)
+    return done

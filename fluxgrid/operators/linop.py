@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +134,30 @@ class Explicit(Op):
         return self.table
 
 
+def from_array(a, spark, dim=None, codim=None, props: frozenset | None = None, rows: int = 1_000_000) -> Explicit:
+    """A matrix from a dense array, a sparse one (anything with tocoo(), as SciPy's have), or (rows, columns, values) arrays with
+    dim and codim; the non-zero cells go to Spark `rows` at a time."""
+    if hasattr(a, "tocoo"):
+        coo = a.tocoo()
+        at, to, w, shape = coo.row, coo.col, coo.data, coo.shape
+    elif isinstance(a, tuple):
+        (at, to, w), shape = map(np.asarray, a), (math.prod(as_shape(codim)), math.prod(as_shape(dim)))
+    else:
+        a = np.asarray(a, float)
+        if a.ndim != 2:
+            raise ValueError("a matrix has two axes")
+        (at, to), shape = np.nonzero(a), a.shape
+        w = a[at, to]
+    if len(w) and not (0 <= min(at) and max(at) < shape[0] and 0 <= min(to) and max(to) < shape[1]):
+        raise ValueError("a cell lies outside the matrix")
+    schema = "row long, col long, w double"
+    parts = [spark.createDataFrame(pd.DataFrame({"row": at[k : k + rows], "col": to[k : k + rows], "w": np.asarray(w[k : k + rows], float)}), schema) for k in range(0, len(w), rows)]
+    table = reduce(lambda x, y: x.unionByName(y), parts) if parts else spark.createDataFrame([], schema)
+    # Sparse formats may name a cell more than once.
+    table = table.groupBy("row", "col").agg(F.sum("w").alias("w")) if not isinstance(a, np.ndarray) else table
+    return Explicit(table, dim if dim is not None else shape[1], codim if codim is not None else shape[0], props)
+
+
 class LinFunc(Op):
     """<a, x> for a Grid a with one item, or with an item for each of x's."""
 

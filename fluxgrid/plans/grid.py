@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +115,16 @@ class Grid:
         """A functional's result: one value for each item."""
         return Grid(df.select("s", F.lit(0).cast("long").alias("i0"), value.cast("double").alias("v")), (1,))
 
+    def to_numpy(self, most: int = 10_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the items, array (items, *core)) on the driver, of `most` values at most; more raise."""
+        items = np.array([r["s"] for r in self.df.select("s").distinct().orderBy("s").limit(most // self.size + 1).collect()], "i8")
+        if len(items) * self.size > most:
+            raise ValueError(f"over {most} values are not brought to the driver")
+        rows = self.summed().df.toPandas()
+        out = np.zeros((len(items), *self.shape))
+        out[(np.searchsorted(items, rows["s"]), *(rows[k] for k in self.keys[1:]))] = rows["v"]
+        return items, out
+
     def written(self) -> "Grid":
         """Cuts lineage by a table in the shared folder."""
         from fluxgrid.sources.store import stage
@@ -136,6 +147,17 @@ def constant(like: Grid, shape: Shape, value: float) -> Grid:
     return Grid(at.withColumn("v", F.lit(float(value))), shape)
 
 
+def from_numpy(spark: SparkSession, a: np.ndarray, stacked: bool = False) -> Grid:
+    """A dense array as one item, or (stacked) with the items on its first axis."""
+    import pandas as pd
+
+    a = np.asarray(a, float) if stacked else np.asarray(a, float)[None]
+    names = ["s", *axes_of(a.ndim - 1)]
+    at = np.indices(a.shape).reshape(a.ndim, -1)
+    df = spark.createDataFrame(pd.DataFrame(dict(zip(names, at, strict=True)) | {"v": a.ravel()}), ", ".join([*(f"{n} long" for n in names), "v double"]))
+    return Grid(df, a.shape[1:])
+
+
 def quotient(a: Column, b: Column) -> Column:
     """a / b as floating-point arithmetic has it: no error and no null at b = 0."""
     at_zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).otherwise(F.signum(a) * F.lit(float("inf")))

@@ -1,20 +1,22 @@
 """The solver loop: stop test, history, logging, checkpoints; steps define the mathematics.
 
-Every signal of the state is written to the shared folder after a step, so plans stay short and a lost executor costs one
-step at most.
+What a step changes in the state is written as one table to the shared folder (or to `folder`), so plans stay short, a lost
+executor costs one step at most, and a fit with a folder can be resumed.
 """
 
 from __future__ import annotations
 
 import logging
 import threading
+import uuid
 from enum import Enum, auto
 
 from pyspark.sql import DataFrame, SparkSession
 
 from fluxgrid.plans.grid import Grid
+from fluxgrid.solvers.state import StateFolder
 from fluxgrid.solvers.stop import Criterion, MaxIter, Memorize
-from fluxgrid.sources.store import save
+from fluxgrid.sources.store import save, shared_dir
 
 log = logging.getLogger("fluxgrid.solvers")
 
@@ -52,7 +54,8 @@ class Solver:
         return self.state["x"]
 
     # -- the loop -------------------------------------------------------------------------------------------------------
-    def fit(self, stop: Criterion | None = None, mode: Mode = Mode.BLOCK, track_objective: bool = False, max_iter: int | None = None, **kwargs) -> "Solver":
+    def fit(self, stop: Criterion | None = None, mode: Mode = Mode.BLOCK, track_objective: bool = False, max_iter: int | None = None, resume: bool = False, **kwargs) -> "Solver":
+        """resume: goes on from the last step that an earlier fit with the same folder has saved, given the same arguments."""
         self.state, self.history, self.idx, self.running, self.error = {}, [], 0, True, None
         self.criterion = stop or (MaxIter(max_iter) if max_iter is not None else self.default_stop())
         self.track = track_objective
@@ -60,7 +63,10 @@ class Solver:
             self.criterion = self.criterion | Memorize("objective")
         self.criterion.clear()
         self.init(**kwargs)
-        self._persist()
+        spark = next(v for v in self.state.values() if isinstance(v, Grid)).spark
+        self.files = StateFolder(spark, f"{self.folder.rstrip('/')}/_state" if self.folder else f"{shared_dir(spark)}/solver-{uuid.uuid4().hex}")
+        if not (resume and self._resume()):
+            self.state = self.files.save(self.state, 0, [])
         if mode is Mode.MANUAL:
             return self
         self.worker = threading.Thread(target=self._run, daemon=True)
@@ -69,6 +75,18 @@ class Solver:
             self.wait()
         return self
 
+    def _resume(self) -> bool:
+        if not self.folder:
+            raise ValueError("only a fit with a folder can be resumed")
+        last = self.files.manifest()
+        if last is None:
+            return False
+        self.state |= self.files.load(last)
+        self.idx, self.history = last["idx"], last["history"]
+        before = self.files.manifest(self.idx - 1) if self.stop_rate == 1 else None
+        self.criterion.restore(len(self.history), self.files.load(before, adopt=False) if before else None)
+        return True
+
     def _run(self) -> None:
         try:
             while self._advance():
@@ -102,6 +120,7 @@ class Solver:
             if self.track:
                 self.state["objective"] = self.objective()
             done = self.criterion.stop(self.state)
+            self.files.hold()
             self.history.append({"iteration": self.idx, **self.criterion.info()})
             if self.verbosity and self.idx % self.verbosity == 0:
                 log.info("%s", self.history[-1])
@@ -112,11 +131,16 @@ class Solver:
                 return False
         self.idx += 1
         self.step()
-        self._persist()
+        self.state = self.files.save(self.state, self.idx, self.history, skip=("objective",))
         return True
 
-    def _persist(self) -> None:
-        self.state = {k: v.written() if isinstance(v, Grid) and k != "objective" else v for k, v in self.state.items()}
+    def held(self, x: Grid) -> Grid:
+        """Cuts lineage within a step."""
+        return self.files.keep(x, self.idx)
+
+    def wide(self, df: DataFrame, shape, **columns: str) -> None:
+        """Sets variables of the state to columns of one table."""
+        self.state.update(self.files.wide(df, self.idx, shape, columns))
 
     def writeback(self) -> None:
         chosen = self.log_var or tuple(k for k, v in self.state.items() if isinstance(v, Grid))

@@ -33,22 +33,17 @@ class CG(Solver):
         x, r, p = (self.state[k] for k in ("x", "residual", "direction"))
         keys = x.keys
         ap = self.op.apply(p)
-        names = {"v": None}
         wide = x.df.withColumnRenamed("v", "x")
         for g, name in ((r, "r"), (p, "p"), (ap, "q")):
             wide = wide.join(g.df.withColumnRenamed("v", name), keys, "left")
-        wide = Grid(wide.na.fill(0.0, ["r", "p", "q"]).withColumn("v", F.lit(0.0)), x.shape).df
+        wide = wide.na.fill(0.0, ["r", "p", "q"])
         sums = wide.groupBy("s").agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("q")).alias("pq"))
         a = _ratio(F.col("rr"), F.col("pq"))
         wide = wide.join(sums, "s").select(*keys, (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("q")).alias("r"), "p", "rr")
         again = wide.groupBy("s").agg(F.sum(F.col("r") * F.col("r")).alias("now"))
         beta = F.lit(0.0) if self.idx % self.restart == 0 else _ratio(F.col("now"), F.col("rr"))
-        wide = wide.join(again, "s").select(*keys, "x", "r", (F.col("r") + beta * F.col("p")).alias("p"), *(F.lit(0.0).alias(n) for n in names))
-        from fluxgrid.sources.store import stage
-
-        wide = stage(wide)
-        for name, column in (("x", "x"), ("residual", "r"), ("direction", "p")):
-            self.state[name] = Grid(wide.select(*keys, F.col(column).alias("v")), x.shape)
+        wide = wide.join(again, "s").select(*keys, "x", "r", (F.col("r") + beta * F.col("p")).alias("p"))
+        self.wide(wide, x.shape, x="x", residual="r", direction="p")
 
     def default_stop(self):
         return AbsError(1e-4, "residual")
@@ -77,8 +72,8 @@ class NLCG(Solver):
         x, g, p = (self.state[k] for k in ("x", "gradient", "direction"))
         a = backtracking_linesearch(self.f, x, p, g, **self.search)
         move = Grid(p.df.join(a, "s").select(*p.keys, (F.col("v") * F.col("a")).alias("v")), p.shape)
-        x = x.plus(move).written()
-        new = self.f.grad(x).written()
+        x = self.held(x.plus(move))
+        new = self.held(self.f.grad(x))
         if self.idx % self.restart == 0:
             p = new.scale(-1)
         else:

@@ -80,11 +80,7 @@ class Adam(Solver):
         else:
             lean = scale = 1.0
         x_new = F.col("x") - self.a * (F.col("m") / lean) / F.pow(F.col("h") / scale, F.lit(self.p))
-        from fluxgrid.sources.store import stage
-
-        wide = stage(wide.withColumn("x", x_new))
-        for name, column in (("x", "x"), ("mean", "m"), ("variance", "w"), ("variance_hat", "h")):
-            self.state[name] = Grid(wide.select(*keys, F.col(column).alias("v")), x.shape)
+        self.wide(wide.withColumn("x", x_new), x.shape, x="x", mean="m", variance="w", variance_hat="h")
 
     def default_stop(self):
         return RelError(1e-4, "x")

@@ -85,10 +85,10 @@ class CondatVu(PrimalDual):
         down = x.plus(self.f.grad(x), 1, -self.tau)
         if self.has_h:
             down = down.plus(self.K.adjoint(z), 1, -self.tau)
-        x_new = self.g.prox(down, self.tau).written()
+        x_new = self.held(self.g.prox(down, self.tau))
         if self.has_h:
             ahead = z.plus(self.K.apply(x_new.plus(x, 2, -1)), 1, self.sigma)
-            self.state["z"] = self.relaxed(self.h.fenchel_prox(ahead.written(), self.sigma), z)
+            self.state["z"] = self.relaxed(self.h.fenchel_prox(self.held(ahead), self.sigma), z)
         self.state["x"] = self.relaxed(x_new, x)
 
 
@@ -108,12 +108,12 @@ class PD3O(PrimalDual):
 
     def step(self):
         z, u = self.state["z"], self.state["u"]
-        x = self.g.prox(u, self.tau).written()
-        down = x.plus(self.f.grad(x), 1, -self.tau).written()
+        x = self.held(self.g.prox(u, self.tau))
+        down = x.plus(self.f.grad(x), 1, -self.tau)
         if self.has_h:
             back = self.K.adjoint(z)
             ahead = z.plus(self.K.apply(x.plus(down).plus(u, 1, -1).plus(back, 1, -self.tau)), 1, self.sigma)
-            z_new = self.relaxed(self.h.fenchel_prox(ahead.written(), self.sigma), z).written()
+            z_new = self.held(self.relaxed(self.h.fenchel_prox(ahead, self.sigma), z))
             self.state["z"] = z_new
             down = down.plus(self.K.adjoint(z_new), 1, -self.tau)
         self.state.update(x=x, u=self.relaxed(down, u))
@@ -194,20 +194,19 @@ class ADMM(PrimalDual):
                 q, c, _ = self.f.quad_spec()
                 normal, b = normal + q, b.plus(c.grad(x), 1, -1) if c else b
             solver = CG(normal)
-            return solver.fit(b=b.written(), x0=x, stop=solver.default_stop() | MaxIter(self.inner.get("max_iter", 2 * self.K.dim_size))).solution()
+            return solver.fit(b=self.held(b), x0=x, stop=solver.default_stop() | MaxIter(self.inner.get("max_iter", 2 * self.K.dim_size))).solution()
         smooth = self.f + (SquaredL2Norm(self.K.codim).argshift(target.scale(-1)) * (1 / (2 * self.tau))) * self.K
         solver = NLCG(smooth)
         return solver.fit(x0=x, stop=solver.default_stop() | MaxIter(self.inner.get("max_iter", 10))).solution()
 
     def step(self):
         x, z, u = (self.state[k] for k in "xzu")
-        x = self._update(z.plus(u, 1, -1).written(), x).written()
+        x = self.held(self._update(self.held(z.plus(u, 1, -1)), x))
         kx = self.K.apply(x)
         kx = kx if self.rho == 1 else kx.plus(z, self.rho, 1 - self.rho)
-        point = kx.plus(u).written()
-        z = self.h.prox(point, self.tau).written()
+        point = self.held(kx.plus(u))
+        z = self.held(self.h.prox(point, self.tau))
         self.state.update(x=x, z=z, u=point.plus(z, 1, -1))
 
 
 CV, CP, LV, DY, DR, FB, PP = CondatVu, ChambollePock, LorisVerhoeven, DavisYin, DouglasRachford, ForwardBackward, ProximalPoint
-_ = Homothety

@@ -21,6 +21,9 @@ class Criterion:
     def clear(self) -> None:
         pass
 
+    def restore(self, calls: int, before: dict | None) -> None:
+        """After a resumed fit: how often stop was called, and the state of the last call where it is still there."""
+
     def __or__(self, other: "Criterion") -> "Criterion":
         return Both(self, other, any)
 
@@ -44,6 +47,10 @@ class Both(Criterion):
         self.a.clear()
         self.b.clear()
 
+    def restore(self, calls, before):
+        self.a.restore(calls, before)
+        self.b.restore(calls, before)
+
 
 class MaxIter(Criterion):
     """True from call n + 1 on."""
@@ -61,6 +68,9 @@ class MaxIter(Criterion):
     def clear(self):
         self.i = 0
 
+    def restore(self, calls, before):
+        self.i = calls
+
 
 class ManualStop(Criterion):
     def stop(self, state):
@@ -161,3 +171,7 @@ class RelError(AbsError):
     def clear(self):
         super().clear()
         self.before = None
+
+    def restore(self, calls, before):
+        if before and self.var in before:
+            self.before = self.f(before[self.var]) if self.f else before[self.var]

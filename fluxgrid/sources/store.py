@@ -54,5 +54,5 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Every variable of a folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    names = sorted(e.getPath().getName() for e in entries if e.isDirectory())
+    names = sorted(e.getPath().getName() for e in entries if e.isDirectory() and not e.getPath().getName().startswith("_"))
     return {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in names}

@@ -79,3 +79,37 @@ def test_pd3o_without_h_moves_from_its_start(spark, g):
     f = SquaredL2Norm(N).argshift(put(spark, -t))
     x = PD3O(f, g, beta=4.0).fit(x0=put(spark, np.full((1, N), 3.0)), stop=RelError(1e-4, "x") | MaxIter(25)).solution()
     assert np.allclose(get(x)[:1], t if g is None else np.maximum(t, 0), atol=1e-2)
+
+
+@pytest.mark.parametrize("make", [lambda f, folder: PGD(f, L1Norm(N) * 0.5, folder=folder), lambda f, folder: PD3O(f, h=L1Norm(N), folder=folder)])
+def test_resume(spark, tmp_path, make):
+    """A fit that ends after two steps goes on as one that never ended; files hold two steps and their manifests."""
+    f, x0 = SquaredL2Norm(N).argshift(put(spark, np.full((2, N), -2.0))), put(spark, B)
+    pd3o = isinstance(make(f, None), PD3O)
+    kwargs = {"x0": x0, "tau": 0.3} | ({"sigma": 0.5} if pd3o else {})
+    stop = lambda: MaxIter(4) if pd3o else RelError(1e-12, "x") | MaxIter(4)
+    whole = make(f, str(tmp_path / "a")).fit(stop=stop(), **kwargs)
+    killed = make(f, str(tmp_path / "b"))
+    list(killed.fit(mode=Mode.MANUAL, stop=stop(), **kwargs).steps(2))
+    resumed = make(f, str(tmp_path / "b")).fit(stop=stop(), resume=True, **kwargs)
+    assert [h["iteration"] for h in resumed.history] == list(range(5)) == [h["iteration"] for h in whole.history]
+    assert np.allclose(get(resumed.solution()), get(whole.solution()), rtol=1e-12)
+    assert pd3o or np.isclose(resumed.history[2]["RelError[x]"], whole.history[2]["RelError[x]"])
+    names = [p.name for p in (tmp_path / "b" / "_state").iterdir() if not p.name.startswith(".")]
+    assert sum(n.startswith("manifest") for n in names) == 2 and {n.split("-")[1].split(".")[0] for n in names} <= {"0", "3", "4"}
+
+
+def test_criteria(spark):
+    """Values of the criteria on given states."""
+    a, b = ({"x": put(spark, np.array([[3.0, 4.0, 0.0, 0.0], [0.0, 0.0, 0.0, v]]))} for v in (1.0, 2.0))
+    for norm, want in ((2, 5.0), (1, 7.0), (np.inf, 4.0), (0, 2.0)):
+        c = AbsError(5.0, "x", norm=norm)
+        assert c.stop(a) == (want <= 5) and np.isclose(c.info()["AbsError[x]"], want)
+    assert AbsError(1.0, "x", satisfy_all=False).stop(a)
+    c = RelError(0.5, "x")
+    assert not c.stop(a) and not c.stop(b) and np.isclose(c.info()["RelError[x]"], 1.0) and c.stop(b)
+    c = MaxIter(2) & ManualStop()
+    assert [c.stop(a) for _ in range(4)] == [False] * 4 and c.info()["N_iter"] == 4.0
+    c = MaxIter(2) | ManualStop()
+    c.clear()
+    assert [c.stop(a) for _ in range(3)] == [False, False, True]
