@@ -109,11 +109,11 @@ class PD3O(PrimalDual):
     def step(self):
         z, u = self.state["z"], self.state["u"]
         x = self.held(self.g.prox(u, self.tau))
-        down = x.plus(self.f.grad(x), 1, -self.tau)
+        down = self.held(x.plus(self.f.grad(x), 1, -self.tau))
         if self.has_h:
             back = self.K.adjoint(z)
             ahead = z.plus(self.K.apply(x.plus(down).plus(u, 1, -1).plus(back, 1, -self.tau)), 1, self.sigma)
-            z_new = self.held(self.relaxed(self.h.fenchel_prox(ahead, self.sigma), z))
+            z_new = self.held(self.relaxed(self.h.fenchel_prox(self.held(ahead), self.sigma), z))
             self.state["z"] = z_new
             down = down.plus(self.K.adjoint(z_new), 1, -self.tau)
         self.state.update(x=x, u=self.relaxed(down, u))

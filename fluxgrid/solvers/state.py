@@ -34,8 +34,8 @@ class StateFolder:
         fs, path = self._path(name)
         fs.delete(path, True)
 
-    def _write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
-        df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{name}")
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     # -- during a step --------------------------------------------------------------------------------------------------
@@ -64,16 +64,19 @@ class StateFolder:
     def save(self, state: dict, idx: int, history: list, skip: tuple[str, ...] = ()) -> dict:
         """The state, read from its tables."""
         grids = {k: v for k, v in state.items() if isinstance(v, Grid) and k not in skip}
-        self.entries |= {k: self.made[id(v)] for k, v in grids.items() if id(v) in self.made and self.made[id(v)][0] is v}
-        new = {k: v for k, v in grids.items() if k not in self.entries or self.entries[k][0] is not v}
+        placed = {id(g): (g, e) for g, e in [*self.entries.values(), *self.made.values()]}
+        new = {k: v for k, v in grids.items() if id(v) not in placed}
         name = f"step-{idx}"
         if new:
-            parts = [g.df.select(F.lit(k).alias("variable"), *g.keys, "v") for k, g in new.items()]
+            own = {id(v): k for k, v in new.items()}  # a signal that is two variables is written once
+            parts = [new[k].df.select(F.lit(k).alias("variable"), *new[k].keys, "v") for k in own.values()]
             both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-            table = self._write(both, name, "variable")
-            for k, g in new.items():
-                self.entries[k] = (self._column(table.where(F.col("variable") == k), "v", g.shape), {"table": name, "shape": list(g.shape), "columns": both.schema.json()})
-        self.entries = {k: v for k, v in self.entries.items() if k in grids}
+            # The tasks of a union have one variable each, so its files are skipped by their statistics when another is read.
+            table = self._write(both, name)
+            for i, k in own.items():
+                entry = {"table": name, "variable": k, "shape": list(new[k].shape), "columns": both.schema.json()}
+                placed[i] = self._column(table.where(F.col("variable") == k), "v", new[k].shape), entry
+        self.entries = {k: placed[id(v)] for k, v in grids.items()}
         scalars = {k: v for k, v in state.items() if v is None or isinstance(v, bool | int | float | str)}
         text = json.dumps({"idx": idx, "variables": {k: e for k, (_, e) in self.entries.items()}, "scalars": scalars, "history": history})
         fs, path = self._path(f"manifest-{idx}.json")
@@ -113,7 +116,7 @@ class StateFolder:
         out = dict(manifest["scalars"])
         for k, e in manifest["variables"].items():
             table = self.spark.read.schema(StructType.fromJson(json.loads(e["columns"]))).parquet(f"{self.root}/{e['table']}")
-            table = table if "column" in e else table.where(F.col("variable") == k)
+            table = table.where(F.col("variable") == e["variable"]) if "variable" in e else table
             out[k] = self._column(table, e.get("column", "v"), e["shape"])
             if adopt:
                 self.entries[k] = (out[k], e)
