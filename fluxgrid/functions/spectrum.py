@@ -93,10 +93,11 @@ def _applied(op: Op, basis: DataFrame, b: int) -> DataFrame:
     return flat.groupBy("p").agg(F.array(*map(column, range(b))).alias("w"))
 
 
-def _orthonormal(s: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """(t, r) with (w t)^T (w t) = 1 and w = (w t) r for w^T w = s; directions that are rounding next to `scale` are left out."""
+def _orthonormal(s: np.ndarray, scale: float, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """(t, r) with (w t)^T (w t) = 1 and w = (w t) r for w^T w = s; at most `room` directions, without those that are rounding
+    next to the largest or to `scale`."""
     values, vectors = np.linalg.eigh((s + s.T) / 2)
-    some = values > max(scale, values[-1]) * 1e-24
+    some = (values > max(scale * 1e-24, values[-1] * 1e-14)) & (np.arange(len(values)) >= len(values) - room)
     root = np.sqrt(values[some])
     return vectors[:, some] / root, root[:, None] * vectors[:, some].T
 
@@ -111,7 +112,7 @@ def largest(op: Op, spark: SparkSession, k: int = 1, most: int = 99, panel: int
     start = spark.range(n).select(F.col("id").alias("p"), F.array().cast("array<double>").alias("q"), _noise(F.col("id"), b, seed).alias("w"))
     z = scratch.write(start, "z0")
     _, s = _products(z, 0, b)
-    t, _ = _orthonormal(s, 0.0)
+    t, _ = _orthonormal(s, 0.0, n)
     basis = _mapped(z, 0, b, lambda q, w: w @ t)
     h, last, steps = np.zeros((0, 0)), t.shape[1], 0
     m = last
@@ -130,9 +131,9 @@ def largest(op: Op, spark: SparkSession, k: int = 1, most: int = 99, panel: int
             h = (grown + grown.T) / 2
             values, ritz = np.linalg.eigh(h)
             top = max(abs(values[-1]), np.finfo(float).tiny)
-            t, r = _orthonormal(s - second.T @ second, top * top)
+            t, r = _orthonormal(s - second.T @ second, top * top, n - m)
             residuals = np.linalg.norm(r @ ritz[m - last :], axis=0) / top if len(r) else np.zeros(m)
-            wanted, whole = residuals[-min(k, m) :], len(r) == 0 or m + len(r) > n
+            wanted, whole = residuals[-min(k, m) :], len(r) == 0
             if m >= min(k, n) and wanted.max() <= settled or whole or steps >= most:
                 break
             both = first + second
