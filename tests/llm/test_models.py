@@ -5,13 +5,16 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import clashing, stored, table, words
 
 import corpus_pipeline
 from conftest import SF
 from fluxgrid.llm import queries
-from fluxgrid.llm.decontaminate import align, contaminated, decontaminate
+from fluxgrid.llm.decontaminate import align, contaminated, decontaminate, least_kept, longest_run, separated
+from fluxgrid.llm.shingles import text_blocks
+from fluxgrid.llm.shingles import words as hashed_words
 from fluxgrid.llm.quality import classify, features, keep_good, train
 from fluxgrid.llm.secrets import candidates, fit, labelled_findings, longest_harmless, plain_box, scan_secrets, training_table, word_findings
 
@@ -63,6 +66,76 @@ def test_decontamination(spark):
     assert contaminated(docs, bench(spark, [])).count() == 0 == contaminated(table(spark, []), bench(spark, items)).count()
 
 
+def hashes(texts):
+    out = []
+    for _, data, offsets in text_blocks(separated(pa.array(texts, pa.string()))):
+        w, _, _, at = hashed_words(data, offsets, bare=True)
+        out += [w[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
+def every_alignment(items, texts):
+    """(document, item) of all pairs that the definition asks for, each pair aligned."""
+    passages, found = hashes(texts), set()
+    for i, (item, text) in enumerate(zip(hashes(items), items, strict=True)):
+        n = len(item)
+        least = n if n >= 5 else 2 * n
+        if n < 2 or (n < 5 and len(text) < 12):
+            continue
+        for d, passage in enumerate(passages):
+            score = align(item, passage)[0]
+            if score >= least or (score >= 26 and longest_run(item, passage) >= 13):
+                found.add((d, i))
+    return found
+
+
+def edited(r, item, share):
+    """A share of the words replaced, deleted or followed by a new one."""
+    out = list(item)
+    for p in sorted(r.sample(range(len(item)), round(share * len(item))), reverse=True):
+        kind = r.randrange(3)
+        out[p : p + 1] = [[f"new{r.randrange(999)}"], [], [out[p], f"new{r.randrange(999)}"]][kind]
+    return out
+
+
+def test_decontamination_finds_all_that_alignments_find(spark):
+    r, items, texts = random.Random(17), [], []
+    for n in (3, 4, 5, 6, 8, 10, 14, 20, 40):
+        for _ in range(6):
+            item = words(r, n, 300)
+            items.append(" ".join(item))
+            for share in (0, 0.1, 0.2, 0.3):
+                w = words(r, 50, 300)
+                w[20:20] = edited(r, item, share)
+                texts.append(" ".join(w))
+    items += ["What is capital France", "法国的首都是哪里巴黎", "short one", "x", " ".join(words(r, 60, 300)), "ha ha ha ha ha ha"]
+    texts += ["he asked: what is capital, France?", "问题是法国的首都是哪里巴黎吗", "what is capital of France", "a short one x", " ".join(items[-2].split(" ")[20:33]), " ".join(items[-2].split(" ")[20:32]), "ha " * 700, items[-2] * 3]
+    want = every_alignment(items, texts)
+    found = contaminated(table(spark, list(enumerate(texts))), bench(spark, list(enumerate(items)))).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in found} == want and len(found) == len(want)
+    assert (216, 54) in want and (217, 55) in want and (218, 54) not in want and (220, 58) in want and (221, 58) not in want and (222, 59) in want
+    item = hashes(items)
+    assert all(abs(x["score"] * 2 * len(item[x["item_id"]]) - align(item[x["item_id"]], hashes([texts[x["doc_id"]]])[0])[0]) < 1e-9 for x in found)
+
+
+def test_bigrams_that_alignments_keep():
+    r = random.Random(3)
+    for _ in range(3000):
+        n = r.randrange(5, 16)
+        item, out, inserted = np.arange(n), [], 0
+        for k in item:
+            if r.random() < 0.5 and inserted < n // 4:
+                out.append(-1)
+                inserted += 1
+            if r.random() < 0.75:
+                out.append(k)
+            elif r.random() < 0.5:
+                out.append(-2)
+        if align(item, np.array(out))[0] >= n:
+            left = sum(b == a + 1 and a >= 0 for a, b in zip(out[:-1], out[1:], strict=True))
+            assert left >= least_kept(n, 0.5)
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     rows = classify(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
