@@ -13,8 +13,8 @@ more with a digit. A pass phrase of several words is judged word by word.
 
 The forest is trained here, on labelled findings: a table of (text, label) whose texts hold one candidate each. Without
 one, `labelled_findings` and `word_findings` make them from formats of keys, tokens and passwords and of harmless look-alikes (card and
-phone numbers, addresses, hashes of commits, identifiers, paths, glued words). Its trees become CASE expressions, so the
-scan runs in DataFrame expressions alone; the driver trains on a few thousand findings, whatever the size of `docs`.
+phone numbers, addresses, hashes of commits, identifiers, paths, glued words). Its trees become one table of nodes, walked by
+array functions, so the scan runs in DataFrame expressions alone; the driver trains on a few thousand findings, whatever the size of `docs`.
 
 Null texts count as empty. Repeated rows are scanned once each, null doc_ids stay null. Extra columns are not read. An
 empty table gives no rows.
@@ -82,7 +82,7 @@ def _found(word: Column) -> Column:
 
 
 def candidates(docs: DataFrame, *keep: str, longest: int = 0) -> DataFrame:
-    """place (of the word), name, value, listed (a long whole word with a digit) and the features of every candidate,
+    """place (of the word), name, value, listed (a long whole word with a digit) and x, the features, of every candidate,
     beside the columns in `keep`; not of plain words up to the length `longest` (from 2) that no name
     or assignment stands before."""
     words = F.filter(F.split(text_of(docs), r"\s+"), lambda w: w != "")
@@ -107,7 +107,9 @@ def candidates(docs: DataFrame, *keep: str, longest: int = 0) -> DataFrame:
         "secret_name": flag(F.lower("name").rlike(f"(?:{SECRET_NAMES})$")), "plain_name": flag(F.lower("name").rlike(f"(?:^|[_.-])(?:{PLAIN_NAMES})$")), "assigned": flag((F.col("name") != "") | F.col("near").rlike("[=:]$")),
         "secret_near": flag(F.col("near").rlike(f"\\b(?:{SECRET_NAMES})\\b")), "plain_near": flag(F.col("near").rlike(f"\\b(?:{PLAIN_NAMES})\\b")), "quoted": flag(F.col("word").rlike("[\"'`]")),
     }
-    return rows.select(*keep, "place", "name", "value", listed.alias("listed"), *(feature[f].alias(f) for f in FEATURES))
+    # A generated row: what reads the features, filters too, is not folded into their expressions.
+    made = F.explode(F.array(F.struct(listed.alias("listed"), F.array(*(feature[f] for f in FEATURES)).alias("x"))))
+    return rows.select(*keep, "place", "name", "value", made.alias("made")).select(*keep, "place", "name", "value", "made.*")
 
 
 def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
@@ -182,11 +184,6 @@ class Tree:
     yes: "Tree | None" = None
     no: "Tree | None" = None
 
-    def expr(self) -> Column:
-        if self.feature < 0:
-            return F.lit(self.value)
-        return F.when(F.col(FEATURES[self.feature]) < self.at, self.yes.expr()).otherwise(self.no.expr())
-
     def most(self, box: dict[str, tuple[float, float]]) -> float:
         """The largest value in a box of features (least, most); features that are not in it are free."""
         if self.feature < 0:
@@ -250,15 +247,38 @@ def fit(findings: DataFrame) -> list[Tree]:
     data = []
     for found in texts.values():
         if found[0]["meant"] is not None:
-            data += [(float(c["label"]) if c["value"] == c["meant"] else 0.0, *(float(c[f]) for f in FEATURES)) for c in found]
+            data += [(float(c["label"]) if c["value"] == c["meant"] else 0.0, *c["x"]) for c in found]
         else:
             longest = max(len(c["value"]) for c in found)
             meant = [c for c in found if c["listed"]] or [c for c in found if len(c["value"]) == longest][:1]
-            data += [(float(c["label"]), *(float(c[f]) for f in FEATURES)) for c in meant]
+            data += [(float(c["label"]), *c["x"]) for c in meant]
     table = np.array(sorted(data)).reshape(-1, 1 + len(FEATURES))
     return train_forest(table[:, 1:], table[:, 0]) if len(table) else [Tree(0.0)]
 
 
+def forest_score(forest: list[Tree], x: Column) -> Column:
+    """The mean of the trees at the features x. The forest is one table of nodes (feature, at, yes, no, value), which the
+    trees are walked in step by step; a leaf leads to itself."""
+    nodes, roots = [], []
+
+    def add(tree: Tree) -> int:
+        k = len(nodes)
+        nodes.append([0, 0.0, k, k, tree.value])
+        if tree.feature >= 0:
+            nodes[k] = [tree.feature, tree.at, add(tree.yes), add(tree.no), tree.value]
+        return k
+
+    def depth(tree: Tree) -> int:
+        return 0 if tree.feature < 0 else 1 + max(depth(tree.yes), depth(tree.no))
+
+    roots = [add(t) for t in forest]
+    feature, at, yes, no, value = (F.lit(list(column)) for column in zip(*nodes, strict=True))
+    leaf = F.lit(roots)
+    for _ in range(max(depth(t) for t in forest)):
+        leaf = F.transform(leaf, lambda n: F.when(F.get(x, F.get(feature, n)) < F.get(at, n), F.get(yes, n)).otherwise(F.get(no, n)))
+    return F.aggregate(leaf, F.lit(0.0), lambda done, n: done + F.get(value, n)) / len(forest)
+
+
 def longest_harmless(forest: list[Tree], threshold: float, most: int = 40) -> int:
     """The length up to which no plain word can reach the threshold."""
     lengths = range(1, most + 1)
@@ -272,5 +292,6 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold:
     forest = fit(training_table(docs.sparkSession, labelled_findings() + word_findings()) if findings is None else findings)
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     found = candidates(ids, "doc_id", longest=longest_harmless(forest, threshold))
-    scored = found.withColumn("score", F.round(sum((t.expr() for t in forest), F.lit(0.0)) / len(forest), 9)).where(F.col("listed") | (F.col("score") >= threshold))
+    score = F.explode(F.array(F.round(forest_score(forest, F.col("x")), 9)))
+    scored = found.select("doc_id", "place", "name", "value", "listed", score.alias("score")).where(F.col("listed") | (F.col("score") >= threshold))
     return scored.select("doc_id", "place", "name", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").alias("n_chars"), "score", (F.col("score") >= threshold).alias("secret"))

@@ -8,15 +8,16 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from fixtures import clashing, stored, table, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF
 from fluxgrid.llm import queries
 from fluxgrid.llm.decontaminate import align, contaminated, decontaminate, least_kept, longest_run, separated
+from fluxgrid.llm.quality import classify, features, keep_good, train
+from fluxgrid.llm.secrets import candidates, fit, forest_score, labelled_findings, longest_harmless, plain_box, scan_secrets, training_table, word_findings
 from fluxgrid.llm.shingles import text_blocks
 from fluxgrid.llm.shingles import words as hashed_words
-from fluxgrid.llm.quality import classify, features, keep_good, train
-from fluxgrid.llm.secrets import candidates, fit, labelled_findings, longest_harmless, plain_box, scan_secrets, training_table, word_findings
 
 
 def plain_align(a, b):
@@ -222,3 +223,20 @@ def test_queries_cover_their_tables(spark, name):
         assert rows.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/{table_}.parquet").count()
     else:
         assert rows.count() > 0
+
+
+def test_scores_of_the_scan_are_those_of_the_trees(spark):
+    found = spark.createDataFrame(labelled_findings(300, 4), "text string, label int")
+    forest = fit(training_table(spark, word_findings(1500)))
+    rows = candidates(found).select("x", forest_score(forest, F.col("x")).alias("score")).collect()
+    want = sum(t.score(np.array([r["x"] for r in rows])) for t in forest) / len(forest)
+    assert len(rows) >= 300 and np.abs(np.array([r["score"] for r in rows]) - want).max() < 1e-12 and len({r["score"] for r in rows}) > 20
+
+
+def test_generated_code_of_the_scan_compiles(spark):
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert scan_secrets(table(spark, [(1, "password=hunter2x9k3"), (2, "plain words")]), training_table(spark, word_findings(1000))).count() == 1
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
