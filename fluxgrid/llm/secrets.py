@@ -2,11 +2,11 @@
 
 Every white-space separated word gives candidates: the word itself without quotes and signs around it, an assignment
 (`password=...`, `key: ...`) split into a name and a value, and, where it holds separators, every further assignment and
-every token run inside (JSON, query strings, paths). The forest sees the value's length, character classes and
+every token run inside (JSON, query strings, paths), and the password in an address of a host. The forest sees the value's length, character classes and
 transitions, distinct characters, the share covered by a small dictionary of common syllables, its path signs, the name
 and the two words before.
 
-Plain words (lower case or capitalised, no name or assignment before) are left out of the scan up to the length at which
+Plain words (lower case, capitalised, capitals or letters without case; no name or assignment before) are left out of the scan up to the length, by kind, at which
 the largest score that the forest can give to any of them, over all that is not known of them, is below the threshold.
 So that never changes a finding. Rows are all secrets, and of the harmless candidates those that are whole words of 12 characters or
 more with a digit. A pass phrase of several words is judged word by word.
@@ -39,6 +39,7 @@ LEAST_LENGTH, LEAST_VALUE, THRESHOLD = 12, 8, 0.5
 SECRET_NAMES = "token|secret|password|passwd|pwd|passphrase|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential|key"
 PLAIN_NAMES = "commit|sha|sha1|sha256|md5|hash|digest|checksum|uuid|guid|id|isbn|issn|doi|version|build|ref|revision|phone|tel|card|iban|order|invoice"
 KNOWN = "akia|asia|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|pk_live_|xox[abp]-|aiza|eyj|ya29"
+LOUD = ("key", "token", "secret", "passw", "passphrase", "pwd", "auth", "bearer", "credential")
 SYLLABLES = "tion|ment|ing|the|and|ous|able|ible|ness|ence|ance|eaux|eau|que|aire|elle|ung|heit|keit|lich|isch|sch|ein|ver|ción|mente|ado|ida|ist|ter|ent|est|ion|ere|and|her|ate|ain|our|ear|ons|ers|ity|ive|ful|pro|con|com|pre|dis|ist|age|ies|ard|ght"
 
 FEATURES = ("length", "digits", "upper", "lower", "hex", "runs", "distinct", "syllables", "slashes", "dots", "at", "dashes", "known", "secret_name", "plain_name", "assigned", "secret_near", "plain_near", "quoted")
@@ -50,20 +51,49 @@ def _share(value: Column, removed: str) -> Column:
 
 #: Signs between the pieces of a word; paths, hosts and assignments are split further into token runs.
 PIECES, RUNS = r"[\"'`{}\[\]()<>,;&?|]+", r"[\"'`{}\[\]()<>,;&?|/\\\\@=:]+"
+#: The password in the address of a host.
+ADDRESS = r"://[^/@:]*:([^/@]+)@"
 #: A name and a value, without the signs around them.
 PATTERN = r"^[^\p{L}\p{N}]*(?:([\p{L}_][\p{L}\p{N}_.-]*)[\"']?(?:=|:(?!//))[\"']?)?[^\p{L}\p{N}/+]*(.*?)[^\p{L}\p{N}/+=]*$"
 _AROUND = r"[^\p{L}\p{N}\"'`/+=:\\\\@]*"
 _FLAT = dict.fromkeys(("digits", "slashes", "dots", "at", "dashes", "known", "secret_name", "plain_name", "assigned", "secret_near", "quoted"), (0.0, 0.0))
 
 
-def plain_words(longest: int) -> str:
-    """Words without a letter or number, and lower case or capitalised ones of ASCII letters, up to a length."""
-    return rf"^{_AROUND}(?:(?!(?i:{KNOWN}))(?:[a-z]|[A-Za-z][a-z]{{1,{max(1, longest - 1)}}}))?{_AROUND}$"
+#: Kinds of plain words: the pattern of one with n letters at most, and what is known of its features at n letters.
+#: Marks that are no letters are in none of them, and letters without case in one of their own.
+_RUNS_OF_ONE = {"runs": lambda n: (1 / n, 1 / n)}
+_ANY_RUNS = {"runs": lambda n: (1 / n, 1.0)}
+KINDS = {
+    "ascii": (r"[a-z]|[A-Za-z][a-z]{{1,{more}}}", {"upper": lambda n: (0.0, 1 / n if n > 1 else 0.0), "lower": lambda n: ((n - 1) / n if n > 1 else 1.0, 1.0), "runs": lambda n: (1 / n, min(2, n) / n)}),
+    "ascii capitals": (r"[A-Z]{{1,{n}}}", {"upper": lambda n: (1.0, 1.0), "lower": lambda n: (0.0, 0.0)} | _RUNS_OF_ONE),
+    "lower case": (r"\p{{Ll}}{{1,{n}}}", {"upper": lambda n: (0.0, 0.0), "lower": lambda n: (1.0, 1.0)} | _ANY_RUNS),
+    "capitalised": (r"\p{{Lu}}\p{{Ll}}{{0,{more}}}", {"upper": lambda n: (1 / n, 1 / n), "lower": lambda n: ((n - 1) / n, (n - 1) / n)} | _ANY_RUNS),
+    "capitals": (r"\p{{Lu}}{{1,{n}}}", {"upper": lambda n: (1.0, 1.0), "lower": lambda n: (0.0, 0.0)} | _ANY_RUNS),
+    "without case": (r"\p{{Lo}}{{1,{n}}}", {"upper": lambda n: (0.0, 0.0), "lower": lambda n: (0.0, 0.0)} | _ANY_RUNS),
+}
+#: Around rounding of shares, on both sides.
+_SLACK = 1e-9
 
 
-def plain_box(n: int) -> dict[str, tuple[float, float]]:
-    """Least and most of the features of plain words of length n, unless a name or an assignment stands before them."""
-    return _FLAT | {"length": (n, n), "upper": (0.0, 1 / n if n > 1 else 0.0), "lower": ((n - 1) / n if n > 1 else 1.0, 1.0), "runs": (1 / n, min(2, n) / n)}
+def plain_words(longest: dict[str, int]) -> str:
+    """Words without a letter or number, and words of the kinds in `longest`, up to their lengths."""
+    kinds = "|".join(KINDS[k][0].format(n=n, more=max(n - 1, 0) or 1) for k, n in longest.items() if n >= 2)
+    return rf"^{_AROUND}(?:(?!(?iu:{KNOWN}))(?:{kinds}))?{_AROUND}$" if kinds else rf"^{_AROUND}$"
+
+
+def plain_box(kind: str, n: int) -> dict[str, tuple[float, float]]:
+    """Least and most of the features of plain words of n letters, unless a name or an assignment stands before them."""
+    box = _FLAT | {"length": (n, n)} | {f: of(n) for f, of in KINDS[kind][1].items()}
+    return {f: (low - _SLACK, high + _SLACK) for f, (low, high) in box.items()}
+
+
+def _loud(word: Column) -> Column:
+    """Whether the two words after this one may have a name or an assignment before them: of the names, each holds one of these parts."""
+    low = F.lower(word)
+    found = word.endswith("=") | word.endswith(":")
+    for part in LOUD:
+        found = found | low.contains(part)
+    return found
 
 
 def _found(word: Column) -> Column:
@@ -74,23 +104,25 @@ def _found(word: Column) -> Column:
     pieces = F.split(joined, rf"{PIECES}|[=:](?=[\p{{L}}_][\p{{L}}\p{{N}}_.-]*(?:=|:(?!//)))")
     inner = F.concat(F.transform(pieces, lambda w: split(w, False)), F.transform(F.split(word, RUNS), lambda w: split(w, False)))
     whole = F.array(split(word, True))
-    every = F.when(word.rlike(RUNS), F.concat(whole, inner)).otherwise(whole)
+    # In user:password@host after a scheme, the second part is named by its place.
+    address = F.array(F.struct(F.lit("password").alias("name"), F.regexp_extract(word, ADDRESS, 1).alias("value"), F.lit(False).alias("whole")))
+    every = F.when(word.rlike(RUNS), F.concat(whole, inner, address)).otherwise(whole)
     # Of equal values, the first with a name stays, else the first.
     better = F.array_sort(every, lambda a, b: F.when(a["name"] == b["name"], 0).when(a["name"] == "", 1).when(b["name"] == "", -1).otherwise(0))
     first = F.aggregate(better, F.filter(better, lambda x: F.lit(False)), lambda done, x: F.when((x["value"] == "") | F.exists(done, lambda y: y["value"] == x["value"]), done).otherwise(F.concat(done, F.array(x))))
     return F.when(word.rlike(RUNS), first).otherwise(F.filter(whole, lambda x: x["value"] != ""))
 
 
-def candidates(docs: DataFrame, *keep: str, longest: int = 0) -> DataFrame:
+def candidates(docs: DataFrame, *keep: str, longest: dict[str, int] | None = None) -> DataFrame:
     """place (of the word), name, value, listed (a long whole word with a digit) and x, the features, of every candidate,
-    beside the columns in `keep`; not of plain words up to the length `longest` (from 2) that no name
+    beside the columns in `keep`; not of plain words of the kinds in `longest`, up to their lengths (from 2), that no name
     or assignment stands before."""
     words = F.filter(F.split(text_of(docs), r"\s+"), lambda w: w != "")
     rows = docs.select(*keep, words.alias("w")).where(F.size("w") > 0)
     at = lambda i: F.coalesce(F.get("w", i), F.lit(""))
     places = F.sequence(F.lit(0), F.size("w") - 1)
-    if longest >= 2:
-        rows = rows.withColumn("loud", F.transform("w", lambda w: w.rlike(f"[=:]$|(?i:{SECRET_NAMES})")))
+    if longest:
+        rows = rows.withColumn("loud", F.transform("w", _loud))
         loud = lambda i: F.coalesce(F.get("loud", i), F.lit(False))
         places = F.filter(places, lambda i: ~at(i).rlike(plain_words(longest)) | loud(i - 1) | loud(i - 2))
     made = F.transform(places, lambda i: F.struct(i.alias("place"), at(i).alias("word"), F.lower(F.concat_ws(" ", at(i - 2), at(i - 1))).alias("near")))
@@ -155,6 +187,8 @@ def word_findings(n: int = 4000, seed: int = 12) -> list[tuple[str, int, str]]:
         lambda _: ("{}", "AKIA" + of(string.ascii_uppercase, 16)), lambda v: (f"{r.choice(names)}={{}}", v), lambda v: (f"{r.choice(names)}: {{}}", v), lambda v: (f'{r.choice(names)} = "{{}}"', v),
         lambda v: (f'{{{{"user":"{word(1)}","{r.choice(names)}":"{{}}"}}}}', v), lambda v: (f"https://{word(2)}.example/{word(1)}?id={of(string.digits, 2)}&{r.choice(names)}={{}}", v),
         lambda v: (f"{r.choice(names)}={{}}", "-".join(word(2) for _ in range(4))), lambda v: (f"user={word(1)};{r.choice(names)}={{}}", v),
+        lambda v: (f"{word(1)}://{word(2)}:{{}}@{word(2)}.example/{word(1)}", v), lambda _: (f'{r.choice(names)} {r.choice(("=", ":"))} "{{}}"', word(r.randint(5, 8))), lambda _: (f'{r.choice(names)}="{{}}"', word(r.randint(5, 8))),
+        lambda _: (f"-----BEGIN {r.choice(('RSA ', 'EC ', ''))}PRIVATE KEY----- {{}}", of(alnum + "+/", 64)),
     ]
     plain = [
         lambda: ("{}", word(r.randint(1, 4))), lambda: ("{}", word(r.randint(1, 4)).capitalize()), lambda: ("{}", word(r.randint(1, 4)).upper()), lambda: (f"{r.choice(names)} {{}}", word(r.randint(1, 3))),
@@ -279,11 +313,10 @@ def forest_score(forest: list[Tree], x: Column) -> Column:
     return F.aggregate(leaf, F.lit(0.0), lambda done, n: done + F.get(value, n)) / len(forest)
 
 
-def longest_harmless(forest: list[Tree], threshold: float, most: int = 40) -> int:
-    """The length up to which no plain word can reach the threshold."""
-    lengths = range(1, most + 1)
-    safe = [sum(t.most(plain_box(n)) for t in forest) / len(forest) < threshold - 1e-6 for n in lengths]
-    return next((n - 1 for n, good in zip(lengths, safe, strict=True) if not good), most)
+def longest_harmless(forest: list[Tree], threshold: float, most: int = 40) -> dict[str, int]:
+    """For each kind, the length up to which no plain word can reach the threshold."""
+    safe = lambda kind, n: sum(t.most(plain_box(kind, n)) for t in forest) / len(forest) < threshold - 1e-6
+    return {kind: next((n - 1 for n in range(1, most + 1) if not safe(kind, n)), most) for kind in KINDS}
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
