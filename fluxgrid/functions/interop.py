@@ -8,9 +8,10 @@ import numpy as np
 
 from fluxgrid.operators.fft import per_block
 from fluxgrid.plans.grid import Grid
-from fluxgrid.plans.op import METHODS, Op, implied
+from fluxgrid.plans.op import Op, implied
 
-KNOWN = {m for ms in METHODS.values() for m in ms}
+#: What a node may define for itself: the public methods and bounds of Op.
+KNOWN = {m for m, value in vars(Op).items() if not m.startswith("_") and (callable(value) or isinstance(value, float))}
 
 
 def from_source(props: frozenset, dim, codim, embed: dict | None = None, **methods) -> Op:

@@ -9,6 +9,7 @@ import pytest
 from fluxgrid.functions import interop
 from fluxgrid.operators.linop import Identity, from_array
 from fluxgrid.plans.grid import from_numpy
+from fluxgrid.plans.op import LINEAR
 
 
 class Entry:
@@ -64,3 +65,10 @@ def test_arrays(spark):
         one.to_numpy(most=11)
     with pytest.raises(ValueError):
         from_array(([5], [0], [1.0]), spark, dim=2, codim=2)
+
+
+def test_from_source_takes_what_operators_have():
+    assert interop.KNOWN >= set("apply adjoint grad prox fenchel_prox moreau_envelope jacobian gram cogram svdvals pinv dagger asarray trace quad_spec lipschitz diff_lipschitz".split())
+    assert not interop.KNOWN & {"T", "kind", "dim", "props"}
+    with pytest.raises(ValueError, match="unknown methods"):
+        interop.from_source(LINEAR, 3, 3, applies=lambda x: x)
