@@ -199,3 +199,17 @@ def test_repeated_rows_and_tied_ids(spark, tmp_path):
     long = "passage " * 40
     spans = suffix_dedup(stored(spark, [(3, long + "x"), (3, long + "x"), (3, long + "y")], tmp_path / "u"))
     assert sum(r["n_removed"] == 0 for r in spans.collect()) == 0  # the first repeats itself
+
+
+def test_lines_of_more_rows_than_a_broadcast_holds(spark, docs, monkeypatch):
+    from fluxgrid.llm import common, line_dedup
+
+    want = sorted(map(str, line_report(docs, short_lines=True).collect()))
+    for bound, joins in ((8, 1), (0, 3)):
+        monkeypatch.setattr(common, "BROADCAST_IDS", bound)
+        monkeypatch.setattr(line_dedup, "BROADCAST_IDS", bound)
+        report = line_report(docs, short_lines=True)
+        plan = report._jdf.queryExecution().sparkPlan().toString()
+        # Only the rows that lose lines meet them by a shuffle; the texts of the others stay where they are.
+        assert plan.count("SortMergeJoin") == joins
+        assert sorted(map(str, report.collect())) == want
