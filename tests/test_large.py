@@ -127,3 +127,17 @@ def test_block_algebra(spark):
     assert np.isclose(op.trace(spark), np.trace(want)) and np.allclose(op.svdvals(spark, 4), np.sort(np.linalg.svd(want, compute_uv=False))[-4:])
     d = Diagonal(put(spark, np.array([[1.0, -5.0, 2.0]])))
     assert np.isclose(d.trace(spark), -2.0) and np.allclose((d * -2.0).svdvals(spark, 2), [4.0, 10.0])
+
+
+def test_kronecker_products_are_not_shuffled(spark):
+    a, b = rng.standard_normal((40, 3)), rng.standard_normal((50, 3))
+    a[::4, 1], b[7] = 0.0, 0.0
+    sparse = [Explicit(explicit(spark, m).table.where("w <> 0"), 3, len(m)) for m in (a, b)]
+    for op, want in ((kron(*sparse), np.kron(a, b)), (khatri_rao(*sparse), np.einsum("ik,jk->ijk", a, b).reshape(2000, 3))):
+        x, y = rng.standard_normal((2, want.shape[1])), rng.standard_normal((2, 2000))
+        assert np.allclose(get(op.apply(put(spark, x))), x @ want.T) and np.allclose(get(op.adjoint(put(spark, y))), y @ want)
+        plan = op.apply(put(spark, x)).df._jdf.queryExecution().executedPlan().toString()
+        product = plan[: plan.index("BroadcastNestedLoopJoin")]
+        assert "Exchange" not in product and "HashAggregate" not in product
+        plan = op.adjoint(put(spark, y)).df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan[plan.index("BroadcastHashJoin") :]
