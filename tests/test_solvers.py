@@ -8,7 +8,7 @@ from fluxgrid.plans.op import POS_DEF
 from fluxgrid.samplers.langevin import ULA
 from fluxgrid.solvers.base import Mode
 from fluxgrid.solvers.cg import CG, NLCG
-from fluxgrid.solvers.gradient import PGD
+from fluxgrid.solvers.gradient import PGD, Adam
 from fluxgrid.solvers.splitting import ADMM, PD3O, CondatVu
 from fluxgrid.solvers.stop import AbsError, ManualStop, MaxIter, RelError
 from fluxgrid.sources.store import load
@@ -113,3 +113,19 @@ def test_criteria(spark):
     c = MaxIter(2) | ManualStop()
     c.clear()
     assert [c.stop(a) for _ in range(3)] == [False, False, True]
+
+
+def test_adam_broadcasts_no_state(spark, monkeypatch):
+    from fluxgrid.solvers.state import StateFolder
+
+    plans, wide = [], StateFolder.wide
+
+    def seen(self, df, *args):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return wide(self, df, *args)
+
+    monkeypatch.setattr(StateFolder, "wide", seen)
+    got = Adam(SquaredL2Norm(N)).fit(x0=put(spark, np.ones((2, N))), a=0.1, max_iter=2).solution()
+    assert np.allclose(get(got), 0.8, atol=1e-2)
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert len(plans) == 2 and not joins
