@@ -213,3 +213,19 @@ def test_lines_of_more_rows_than_a_broadcast_holds(spark, docs, monkeypatch):
         # Only the rows that lose lines meet them by a shuffle; the texts of the others stay where they are.
         assert plan.count("SortMergeJoin") == joins
         assert sorted(map(str, report.collect())) == want
+
+
+def test_tables_of_finished_steps_go(spark, docs, monkeypatch):
+    import os
+
+    from fluxgrid.llm.common import Workspace
+
+    write, held = Workspace.write, {}
+
+    def listed(self, df, name):
+        held[name] = set(os.listdir(self.root.removeprefix("file://"))) if held else set()
+        return write(self, df, name)
+
+    monkeypatch.setattr(Workspace, "write", listed)
+    dedup_lines(docs, short_lines=True)
+    assert not held["removed"] & {"lines", "shared", "wanted", "pairs-1", "pairs-2"}
