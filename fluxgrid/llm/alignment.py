@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import time
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from itertools import chain
@@ -185,20 +184,22 @@ def align_segments(tokens: DataFrame) -> DataFrame:
     dealt = tokens.select("seg", "a_size", "b_size").repartition("seg")
     line = _ends(dealt, "a_size", "in_a").hint("merge").join(_ends(dealt, "b_size", "in_b").hint("merge"), ["seg", "end"], "full_outer")
     before = Window.partitionBy("seg").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.struct("end", F.count("in_a").over(before).alias("i"), F.count("in_b").over(before).alias("j"), (F.col("in_a") & F.col("in_b")).alias("cut"))
-    lines = line.select("seg", at.alias("at")).groupBy("seg").agg(F.array_sort(F.collect_list("at")).alias("line"))
+    at = F.struct("end", F.count("in_a").over(before).cast("int").alias("i"), F.count("in_b").over(before).cast("int").alias("j"), (F.col("in_a") & F.col("in_b")).alias("cut"))
+    lines = line.select("seg", at.alias("at")).groupBy("seg").agg(F.sort_array(F.collect_list("at")).alias("line"))
     rows = tokens.select("seg", "word", "n", "a", "b").hint("merge").join(lines.hint("merge"), "seg")
-    links = F.transform("line", lambda x: F.get("b", x["j"].cast("int")).cast("long") * (1 << 32) + F.get("a", x["i"].cast("int")))
+    links = F.transform("line", lambda x: F.get("b", x["j"]).cast("long") * (1 << 32) + F.get("a", x["i"]))
     cuts = F.filter("line", lambda x: x["cut"])
-    first = F.concat(F.array(F.struct(F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))), F.transform(F.col("cuts"), lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"))))
+    first = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))), F.transform(F.col("cuts"), lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"))))
 
     def group(x: Column, k: Column) -> Column:
         start = F.get(F.col("first"), k)
-        side = lambda ids, c: _joined(F.slice(ids, (start[c] + 2).cast("int"), (x[c] - start[c]).cast("int")))
+        side = lambda ids, c: _joined(F.slice(ids, start[c] + 2, x[c] - start[c]))
         return F.concat(side("a", "i"), F.lit("|"), side("b", "j"))
 
     rows = rows.select("seg", "word", "n", "a", "b", F.size("a").alias("n_a"), links.alias("links"), cuts.alias("cuts")).withColumn("first", first)
-    return rows.select("seg", "word", "n", "n_a", F.array_join(F.transform("cuts", group), ";").alias("groups"), "links")
+    # Most segments are one group: all their ids.
+    groups = F.when(F.size("cuts") == 1, F.concat(_joined(F.col("a")), F.lit("|"), _joined(F.col("b")))).otherwise(F.array_join(F.transform("cuts", group), ";"))
+    return rows.select("seg", "word", "n", "n_a", groups.alias("groups"), "links")
 
 
 def _gather(blocks: pa.Table, found: pa.Table) -> pa.Table:
@@ -225,15 +226,6 @@ def _gather(blocks: pa.Table, found: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _settle(work: Workspace, *names: str) -> None:
-    """Drops tables and the shuffle files of all that has ended. The last query is held until another one ran, and what a
-    collection finds goes with the next."""
-    work.spark.range(1).count()
-    work.drop(*names)
-    time.sleep(0.3)
-    work.drop()
-
-
 def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)"""
     check_model(path_b)
@@ -245,7 +237,7 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     distinct = words.groupBy("word").agg(F.sum("n").alias("n"))
     tokens = distinct.mapInArrow(tidy(_tokenize(path_a, path_b)), _TOKENS).select(F.monotonically_increasing_id().alias("seg"), "*")
     tokens = work.write(tokens, "tokens")
-    _settle(work)
+    work.settle()
     # A session of its own for the setting that align_segments wants.
     session = spark.newSession()
     session.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
@@ -256,10 +248,10 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         part.write.parquet(f"{work.root}/aligned-{k}")
         kept = part.schema
         del part
-        _settle(work)
+        work.settle()
     aligned = reduce(DataFrame.unionByName, (work.read(f"aligned-{k}", kept) for k in range(waves)))
     del every
-    _settle(work, "tokens")
+    work.settle("tokens")
 
     counts = work.write(aligned.select(F.explode("links").alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("count")), "counts")
     b_id = F.floor(F.col("pair") / (1 << 32))
@@ -271,7 +263,7 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     values = aligned.select("seg", "word", "n_a", "groups").hint("merge").join(sums.hint("merge"), "seg").drop("seg")
     values = work.write(values, "values")
     del aligned, sums, rated, most
-    _settle(work, "counts", *(f"aligned-{k}" for k in range(waves)))
+    work.settle("counts", *(f"aligned-{k}" for k in range(waves)))
 
     mine = lambda df, k: df.where(F.pmod(F.xxhash64("block"), F.lit(waves)) == k)
     reports = []
@@ -280,5 +272,5 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         sides = mine(work.read("blocks", blocks.schema).select("block", "doc_ids", "sizes", "codes"), k).groupBy("block").cogroup(found.groupBy("block"))
         reports.append(work.write(sides.applyInArrow(_gather, _REPORT), f"report-{k}"))
         del found, sides
-        _settle(work)
+        work.settle()
     return reduce(DataFrame.unionByName, reports)
