@@ -171,3 +171,13 @@ def test_divergence(spark, monkeypatch):
     text = ("word Mixed " * 40 + "ü" * 200).encode()
     known = defaultdict(lambda: len(known))
     assert np.concatenate(list(div._codes(text, known.__getitem__))).tolist() == [0, 1] * 40 + [2]
+
+
+def test_groups_of_segments_with_one_and_with_more_cuts(spark):
+    from fluxgrid.llm.alignment import align_segments
+
+    rows = [(1, "ab", 1, [7], [8, 9], [3], [1, 2]), (2, "abc", 1, [1, 2, 3], [4, 5], [1, 1, 2], [2, 2])]
+    out = align_segments(spark.createDataFrame(rows, "seg long, word string, n long, a array<int>, b array<int>, a_size array<short>, b_size array<short>"))
+    assert {r["seg"]: r["groups"] for r in out.collect()} == {1: "7|8,9", 2: "1,2|4;3|5"}
+    # A comparator of its own for each pair of places is not compiled.
+    assert "array_sort" not in out._jdf.queryExecution().optimizedPlan().toString()
