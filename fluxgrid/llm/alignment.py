@@ -197,7 +197,7 @@ def align_segments(tokens: DataFrame) -> DataFrame:
         return F.concat(side("a", "i"), F.lit("|"), side("b", "j"))
 
     rows = rows.select("seg", "word", "n", "a", "b", F.size("a").alias("n_a"), links.alias("links"), cuts.alias("cuts")).withColumn("first", first)
-    # Most segments are one group: all their ids.
+    # A segment of one group: all its ids.
     groups = F.when(F.size("cuts") == 1, F.concat(_joined(F.col("a")), F.lit("|"), _joined(F.col("b")))).otherwise(F.array_join(F.transform("cuts", group), ";"))
     return rows.select("seg", "word", "n", "n_a", groups.alias("groups"), "links")
 
