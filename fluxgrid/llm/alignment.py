@@ -235,7 +235,7 @@ def align_report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select("block", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("n")).where("n > 0")
 
     distinct = words.groupBy("word").agg(F.sum("n").alias("n"))
-    tokens = distinct.mapInArrow(tidy(_tokenize(path_a, path_b)), _TOKENS).select(F.monotonically_increasing_id().alias("seg"), "*")
+    tokens = distinct.mapInArrow(tidy(_tokenize(path_a, path_b), keep=True), _TOKENS).select(F.monotonically_increasing_id().alias("seg"), "*")
     tokens = work.write(tokens, "tokens")
     work.settle()
     # A session of its own for the setting that align_segments wants.

@@ -62,4 +62,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, context: int = CONTEXT, d
                 )
 
     schema = SCHEMA.replace("ids array<int>", "ids_crc32 long") if digest else SCHEMA
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(tidy(cut), schema)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(tidy(cut, keep=True), schema)

@@ -16,6 +16,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 
+from fluxgrid.llm.common import CACHES
 from fluxgrid.llm.shingles import Bytes, words
 
 #: Cached pieces of one Python worker: about 120 MB. Above half of that, a piece enters when it is seen in a second block.
@@ -218,6 +219,9 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+CACHES.append(encoder.cache_clear)
+
+
 def blocks(texts, chars: int = 4_000_000):
     """Slices of a list of texts of about so many characters: (start, end)."""
     start = total = 0

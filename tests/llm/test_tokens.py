@@ -10,10 +10,11 @@ from fixtures import clashing, corpus, stored, table
 from tokenizers import Tokenizer
 
 from fluxgrid.llm.chat_format import escape, format_chats, parse, read_back, unescape
+from fluxgrid.llm.common import small_batches, tidy
 from fluxgrid.llm.packing import binary_lengths, pack
 from fluxgrid.llm.queries import tokenizer_path
 from fluxgrid.llm.token_output import SequenceFile, read_tokens, write_tokens
-from fluxgrid.llm.tokens import MARK, PieceEncoder
+from fluxgrid.llm.tokens import MARK, PieceEncoder, encoder
 
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
 ODD = ["", " ", "  a", "a  b", "it's, he'll.", "x\n\ny \n z", "\t a\r\nb ", "été,  ÉTÉ. b", "中文 字, a.b,c", "12 345,6.7", f"a{MARK} b", "  x", "don't.", "a, b. c", "<|endoftext|> x", "\\ </s>"]
@@ -115,3 +116,23 @@ def test_pieces_of_odd_texts(name, monkeypatch):
     words = PieceEncoder(tokenizer_path(name))
     want = [np.array(e.ids, words.dtype).tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
     assert words.encode(texts) == want and words.encode(texts[::-1]) == want[::-1]
+
+
+def test_other_operators_do_not_hold_the_cache():
+    held = encoder(WORD)
+    assert list(tidy(iter, keep=True)([1, 2])) == [1, 2]
+    assert encoder(WORD) is held
+    assert list(tidy(iter)([1, 2])) == [1, 2]
+    assert encoder.cache_info().currsize == 0
+
+
+def test_texts_come_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = table(spark, [(i, "x" * 3_000_000) for i in range(9)]).coalesce(1).select("text")
+    try:
+        small_batches(spark)
+        sizes = [r["text"] for r in docs.mapInArrow(lambda batches: (b.from_pydict({"text": [str(b.num_rows)]}) for b in batches), "text string").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(map(int, sizes)) == 9 and max(map(int, sizes)) <= 3
