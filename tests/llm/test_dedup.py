@@ -229,3 +229,28 @@ def test_tables_of_finished_steps_go(spark, docs, monkeypatch):
     monkeypatch.setattr(Workspace, "write", listed)
     dedup_lines(docs, short_lines=True)
     assert not held["removed"] & {"lines", "shared", "wanted", "pairs-1", "pairs-2"}
+
+
+def test_keys_are_shuffled_by_parts(spark, docs, monkeypatch):
+    from fluxgrid.llm import common, line_dedup
+
+    parts, broadcast, write, only = {}, [], common.Workspace.write, line_dedup.only_ids
+
+    def noted(self, df, name):
+        out = write(self, df, name)
+        if name.startswith("shared"):
+            parts[name] = {r["token"] % 3 for r in out.select("token").distinct().collect()}
+        return out
+
+    def counted(rows, ids, key, count):
+        broadcast.append(count == ids.count())
+        return only(rows, ids, key, count)
+
+    want = sorted(map(str, line_report(docs).collect()))
+    monkeypatch.setattr(line_dedup, "WAVES", 3)
+    monkeypatch.setattr(common.Workspace, "write", noted)
+    monkeypatch.setattr(line_dedup, "only_ids", counted)
+    # Beyond the bound the sets are counted, not the pairs that they are in.
+    monkeypatch.setattr(line_dedup, "BROADCAST_IDS", 0)
+    assert sorted(map(str, line_report(docs).collect())) == want
+    assert sorted(parts.values(), key=str) == [{0}, {1}, {2}] and broadcast and all(broadcast)
